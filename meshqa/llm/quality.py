@@ -43,7 +43,8 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     flagged = (
         docs.select("doc_id", "text")
-        .join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+        # trusted ids grow with the corpus, so they are never broadcast
+        .join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
         .select(_hashes(F.col("text")).alias("h"), F.col("trusted_id").isNotNull().cast("long").alias("t"))
     )
     counts = flagged.select("t", F.explode(_features(F.col("h"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
