@@ -1,10 +1,584 @@
-"""The queries of the engine and their SQL, by name."""
+"""The queries of the engine, and the same in DuckDB SQL, by name. All run on the derived network of sources.network."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from meshqa.functions import geometry as G
+from meshqa.functions.geometry import crosses, point_segment, segment_distance
+from meshqa.operators import matching as M
+from meshqa.operators import polygons as P
+from meshqa.operators import rules as R
+from meshqa.operators import topology as T
+from meshqa.operators.spatial import overlay, overlay_sql
+from meshqa.sources.network import CTE, all_nodes, edges, nodes, reference_edges
+from meshqa.sources.scratch import written
+
+CELL = 300.0
+KM2 = CELL * CELL / 1e6
+TOL, GAP = 70.0, 40.0
+PIECE, BUFFER, ANGLE, HAUSDORFF = 40.0, 15.0, 30.0, 17.0
+
+INFRASTRUCTURE = {"A": "highway == 'cycleway'", "B": "cycleway in ['lane', 'track'] and bicycle != 'no'", "C": "bicycle == 'designated' & oneway.isnull()"}
+GROUPS = {
+    ("centerline", True): ["cycleway == 'lane' and oneway != 'yes'", "cycleway.isnull()"],
+    ("centerline", False): ["cycleway == 'lane' and oneway == 'yes'"],
+    ("true_geometries", False): ["highway == 'cycleway' and oneway == 'yes'"],
+    ("true_geometries", True): ["highway == 'cycleway' and oneway != 'yes'", "cycleway == 'track' and oneway not in ['yes']"],
+}
+TYPES = {"protected": ["highway == 'cycleway'", "cycleway in ['track']"], "unprotected": ["cycleway == 'lane'", "surface == 'gravel' and bicycle != 'no'"]}
+ATTRIBUTES = {"surface": {"all": ["surface"]}, "width": {"true_geometries": ["width", "cycleway_width"], "centerline": ["cycleway_width", "width"]}, "absent": {"all": ["no_such_column"]}}
+BAD = [("bicycle", "no", "cycleway", "track"), ("bicycle", "dismount", "cycleway", "track"), ("bicycle", "no", "highway", "cycleway")]
+
+
+def classified(e: DataFrame) -> DataFrame:
+    return R.infrastructure_length(R.protection(R.direction_and_geometry(R.flag(e, INFRASTRUCTURE), GROUPS), TYPES))
+
+
+#: The same for the oracle, written on its own.
+CLASSIFIED = """(SELECT *, CASE WHEN bicycle_infrastructure = 'yes' AND bicycle_geometries IS NOT NULL THEN CASE WHEN bicycle_bidirectional THEN 2 * length ELSE length END END AS infrastructure_length FROM (
+  SELECT *,
+    CASE WHEN highway IS NOT DISTINCT FROM 'cycleway' OR (cycleway IS NOT NULL AND bicycle IS DISTINCT FROM 'no') OR (bicycle IS NOT DISTINCT FROM 'designated' AND oneway IS NULL) THEN 'yes' ELSE 'no' END AS bicycle_infrastructure,
+    CASE WHEN highway IS NOT DISTINCT FROM 'cycleway' OR (cycleway IS NOT DISTINCT FROM 'track' AND oneway IS DISTINCT FROM 'yes') THEN 'true_geometries' WHEN cycleway IS NULL OR cycleway = 'lane' THEN 'centerline' END AS bicycle_geometries,
+    CASE WHEN highway IS NOT DISTINCT FROM 'cycleway' AND oneway IS DISTINCT FROM 'yes' OR cycleway IS NOT DISTINCT FROM 'track' AND oneway IS DISTINCT FROM 'yes' THEN true
+         WHEN highway IS NOT DISTINCT FROM 'cycleway' THEN false
+         WHEN cycleway IS NULL THEN true WHEN cycleway = 'lane' THEN oneway IS DISTINCT FROM 'yes' END AS bicycle_bidirectional,
+    CASE WHEN a AND b THEN 'mixed' WHEN a THEN 'protected' WHEN b THEN 'unprotected' END AS protected
+  FROM (SELECT *, (highway IS NOT DISTINCT FROM 'cycleway' OR cycleway IS NOT DISTINCT FROM 'track') AS a,
+    (cycleway IS NOT DISTINCT FROM 'lane' OR (surface IS NOT DISTINCT FROM 'gravel' AND bicycle IS DISTINCT FROM 'no')) AS b FROM {}) q) q)"""
+C_EDGE, C_REF = CLASSIFIED.format("edge"), CLASSIFIED.format("ref")
+ENDS = "(SELECT u AS n FROM edge UNION ALL SELECT v FROM edge)"
+DEGREE = f"(SELECT n, count(*) AS degree FROM {ENDS} GROUP BY n)"
+COMPONENT = "(SELECT n, min(m) AS component FROM reach GROUP BY n)"
+REACH = "sym(a, b) AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge), reach(n, m) AS (SELECT n, n FROM node UNION SELECT s.b, r.m FROM reach r JOIN sym s ON s.a = r.n WHERE r.m < s.b)"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, reach: bool = False, more: str = ""):
+    """Register a query under its function's name, with SQL over the tables of CTE."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {CTE}{', ' + REACH if reach else ''}{', ' + more if more else ''} {sql}"
+        return f
+
+    return put
+
+
+def grid(df: DataFrame) -> DataFrame:
+    """Cell of a node."""
+    return df.withColumns({"cx": F.floor(F.col("x") / CELL).cast("int"), "cy": F.floor(F.col("y") / CELL).cast("int")})
+
+
+NODE_CELL = f"(SELECT *, floor(x / {CELL})::INT AS cx, floor(y / {CELL})::INT AS cy FROM node)"
+r6 = lambda c: F.round(c, 6)
+
+
+# rules
+@query(f"SELECT id, bicycle_infrastructure FROM {C_EDGE}")
+def infra_flag(s, d):
+    return R.flag(edges(s, d), INFRASTRUCTURE).select("id", "bicycle_infrastructure")
+
+
+@query(f"SELECT id, bicycle_geometries, bicycle_bidirectional FROM {C_EDGE}")
+def bidirectional_class(s, d):
+    return R.direction_and_geometry(edges(s, d), GROUPS).select("id", "bicycle_geometries", "bicycle_bidirectional")
+
+
+@query(f"SELECT id, protected FROM {C_EDGE}")
+def protection_class(s, d):
+    return R.protection(edges(s, d), TYPES).select("id", "protected")
+
+
+@query(f"SELECT id, round(infrastructure_length, 6) AS infrastructure_length FROM {C_EDGE}")
+def infrastructure_length(s, d):
+    return classified(edges(s, d)).select("id", r6("infrastructure_length").alias("infrastructure_length"))
+
+
+@query(f"""SELECT 'surface' AS attribute, count(surface) AS count, round(coalesce(sum(length) FILTER (surface IS NOT NULL), 0), 4) AS length FROM {C_EDGE}
+  UNION ALL SELECT 'width', count(*) FILTER (bicycle_geometries IS NOT NULL AND (width IS NOT NULL OR cycleway_width IS NOT NULL)),
+    round(coalesce(sum(length) FILTER (bicycle_geometries = 'true_geometries' AND width IS NOT NULL OR bicycle_geometries = 'centerline' AND cycleway_width IS NOT NULL), 0), 4) FROM {C_EDGE}
+  UNION ALL SELECT 'absent', 0, 0.0""")
+def existing_tags(s, d):
+    return R.existing_tags(R.direction_and_geometry(edges(s, d), GROUPS), ATTRIBUTES).select("attribute", "count", F.round("length", 4).alias("length"))
+
+
+_BAD_SQL = " UNION ALL ".join(f"SELECT {{k}}'{a}={x}/{b}={y}' AS combination, count(*) FILTER ({a} = '{x}' AND {b} = '{y}') AS count FROM {{t}}{{g}}" for a, x, b, y in BAD)
+
+
+@query(_BAD_SQL.format(k="", t="edge", g=""))
+def incompatible_tags(s, d):
+    return R.incompatible_tags(edges(s, d), BAD)
+
+
+@query(" UNION ALL ".join(f"SELECT id, '{a}={x}/{b}={y}' AS combination FROM edge WHERE {a} = '{x}' AND {b} = '{y}'" for a, x, b, y in BAD))
+def incompatible_edges(s, d):
+    return R.incompatible_edges(edges(s, d), BAD)
+
+
+@query(_BAD_SQL.format(k="cx, cy, ", t=overlay_sql("edge", CELL), g=" GROUP BY cx, cy"))
+def incompatible_grid(s, d):
+    return R.incompatible_tags(overlay(edges(s, d), CELL), BAD, ["cx", "cy"])
+
+
+_TYPE = "concat(CASE WHEN highway IS NOT DISTINCT FROM 'cycleway' THEN 'A' ELSE '' END, CASE WHEN cycleway IS NOT NULL AND bicycle IS DISTINCT FROM 'no' THEN 'B' ELSE '' END, CASE WHEN bicycle IS NOT DISTINCT FROM 'designated' AND oneway IS NULL THEN 'C' ELSE '' END)"
+
+
+@query(f"SELECT id, {_TYPE} AS tagging_type FROM edge")
+def tagging_types(s, d):
+    return R.tagging_type(edges(s, d), INFRASTRUCTURE).select("id", "tagging_type")
+
+
+@query(f"SELECT DISTINCT {_TYPE} AS tagging_type FROM edge WHERE length({_TYPE}) > 1")
+def tag_combinations(s, d):
+    return R.tagging_type(edges(s, d), INFRASTRUCTURE).where("length(tagging_type) > 1").select("tagging_type").distinct()
+
+
+@query(f"SELECT protected AS value, count(*) AS count, round(100 * count(*) / (SELECT count(*) FROM edge), 2) AS percent FROM {C_EDGE} GROUP BY 1")
+def value_counts_pct(s, d):
+    return R.shares(R.protection(edges(s, d), TYPES), "protected")
+
+
+@query(f"SELECT protected, round(sum(length) / 1000, 4) AS km FROM {C_EDGE} GROUP BY 1")
+def length_by_class(s, d):
+    return R.protection(edges(s, d), TYPES).groupBy("protected").agg(F.round(F.sum("length") / 1000, 4).alias("km"))
+
+
+@query("SELECT u, v, count(*) - 1 AS parallel FROM edge GROUP BY u, v")
+def multiedge(s, d):
+    return R.multiedges(edges(s, d))
+
+
+# grid
+@query(f"SELECT cx, cy, count(*) AS count_edges FROM {overlay_sql('edge', CELL)} GROUP BY cx, cy")
+def grid_count(s, d):
+    return overlay(edges(s, d), CELL).groupBy("cx", "cy").agg(F.count("*").alias("count_edges"))
+
+
+@query(f"SELECT cx, cy, round(sum(part), 4) AS length_edges FROM {overlay_sql('edge', CELL)} GROUP BY cx, cy")
+def grid_length(s, d):
+    return overlay(edges(s, d), CELL).groupBy("cx", "cy").agg(F.round(F.sum("part"), 4).alias("length_edges"))
+
+
+@query(f"SELECT id, cx, cy, round(part, 6) AS part FROM {overlay_sql('edge', CELL)}")
+def grid_overlay_clip(s, d):
+    return overlay(edges(s, d), CELL).select("id", "cx", "cy", r6("part").alias("part"))
+
+
+@query(f"SELECT cx, cy, round(sum(infrastructure_length * part / length) / {KM2}, 4) AS edge_density, coalesce(any_value(m), 0) / {KM2} AS node_density, coalesce(any_value(k), 0) / {KM2} AS dangling_density FROM (SELECT * FROM {overlay_sql(C_EDGE, CELL)}) LEFT JOIN (SELECT cx, cy, count(*) AS m, count(*) FILTER (degree = 1) AS k FROM {NODE_CELL} JOIN {DEGREE} USING (n) GROUP BY cx, cy) USING (cx, cy) GROUP BY cx, cy")
+def grid_density(s, d):
+    e = edges(s, d)
+    lines = overlay(classified(e), CELL).groupBy("cx", "cy").agg(F.round(F.sum(F.col("infrastructure_length") * F.col("part") / F.col("length")) / KM2, 4).alias("edge_density"))
+    points = grid(nodes(s, d).join(T.degrees(e), "n")).groupBy("cx", "cy").agg((F.count("*") / KM2).alias("nd"), (F.count(F.when(F.col("degree") == 1, 1)) / KM2).alias("dd"))
+    return lines.join(points, ["cx", "cy"], "left").select("cx", "cy", "edge_density", F.coalesce("nd", F.lit(0.0)).alias("node_density"), F.coalesce("dd", F.lit(0.0)).alias("dangling_density"))
+
+
+@query(f"SELECT cx, cy, " + ", ".join(f"round(coalesce(sum(infrastructure_length * part / length) FILTER (protected = '{t}'), 0) / {KM2}, 4) AS {t}_density" for t in ("protected", "unprotected", "mixed")) + f" FROM {overlay_sql(C_EDGE, CELL)} GROUP BY cx, cy")
+def grid_density_by_protection(s, d):
+    share = F.col("infrastructure_length") * F.col("part") / F.col("length")
+    return overlay(classified(edges(s, d)), CELL).groupBy("cx", "cy").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("protected") == t, share)), F.lit(0.0)) / KM2, 4).alias(f"{t}_density") for t in ("protected", "unprotected", "mixed")])
+
+
+@query(f"SELECT cx, cy, round(100 * count(surface) / count(*), 2) AS surface_pct, 100 - round(100 * count(surface) / count(*), 2) AS surface_pct_missing FROM {overlay_sql('edge', CELL)} GROUP BY cx, cy")
+def grid_tag_pct(s, d):
+    pct = F.round(100 * F.count("surface") / F.count("*"), 2)
+    return overlay(edges(s, d), CELL).groupBy("cx", "cy").agg(pct.alias("surface_pct"), (100 - pct).alias("surface_pct_missing"))
+
+
+@query("SELECT i * 12 + j AS grid_id, i * 300.0::DOUBLE AS xmin, j * 300.0::DOUBLE AS ymin, least(3100, (i + 1) * 300)::DOUBLE AS xmax, least(3500, (j + 1) * 300)::DOUBLE AS ymax, ((least(3100, (i + 1) * 300) - i * 300) * (least(3500, (j + 1) * 300) - j * 300) - greatest(0, least(1000, least(3100, (i + 1) * 300)) - greatest(400, i * 300)) * greatest(0, least(900, least(3500, (j + 1) * 300)) - greatest(300, j * 300)))::DOUBLE AS area FROM range(11) a(i), range(12) b(j) WHERE NOT (i * 300 >= 400 AND (i + 1) * 300 <= 1000 AND j IN (1, 2))")
+def grid_cells(s, d):
+    return P.rectangle_cells(s, 0.0, 0.0, 3100.0, 3500.0, CELL, (400, 300, 1000, 900))
+
+
+# graph
+@query(f"SELECT n, degree FROM {DEGREE}")
+def node_degree(s, d):
+    return T.degrees(edges(s, d))
+
+
+@query(f"SELECT degree, count(*) AS nodes FROM {DEGREE} GROUP BY degree")
+def degree_distribution(s, d):
+    return T.degrees(edges(s, d)).groupBy("degree").agg(F.count("*").alias("nodes"))
+
+
+@query(f"SELECT cx, cy, round(avg(degree), 3) AS avg_degree FROM {NODE_CELL} JOIN {DEGREE} USING (n) GROUP BY cx, cy")
+def avg_degree_grid(s, d):
+    return grid(nodes(s, d).join(T.degrees(edges(s, d)), "n")).groupBy("cx", "cy").agg(F.round(F.avg("degree"), 3).alias("avg_degree"))
+
+
+@query(f"SELECT n FROM {DEGREE} WHERE degree = 1")
+def dangling_nodes(s, d):
+    return T.dangling(edges(s, d))
+
+
+@query(f"SELECT cx, cy, count(*) AS nodes, count(*) FILTER (degree = 1) AS dangling, round(100 * count(*) FILTER (degree = 1) / count(*), 2) AS dangling_pct FROM {NODE_CELL} JOIN {DEGREE} USING (n) GROUP BY cx, cy")
+def dangling_pct_grid(s, d):
+    loose = F.count(F.when(F.col("degree") == 1, 1))
+    return grid(nodes(s, d).join(T.degrees(edges(s, d)), "n")).groupBy("cx", "cy").agg(F.count("*").alias("nodes"), loose.alias("dangling"), F.round(100 * loose / F.count("*"), 2).alias("dangling_pct"))
+
+
+@query("SELECT id, u, v, row_number() OVER (PARTITION BY u, v ORDER BY id) - 1 AS key FROM edge")
+def parallel_keys(s, d):
+    return T.parallel_keys(edges(s, d)).select("id", "u", "v", "key")
+
+
+@query("SELECT min(id) AS id FROM edge GROUP BY least(u, v), greatest(u, v)")
+def undirected_dedupe(s, d):
+    return T.undirected(edges(s, d)).select("id")
+
+
+@query("SELECT count(*) AS nodes, (SELECT count(*) FROM edge) AS lines FROM node")
+def graph_from_lines(s, d):
+    e = edges(s, d).withColumn("line", F.array(G.point("x1", "y1"), G.point("x2", "y2")))
+    made, lines = T.graph_from_lines(e)
+    return made.agg(F.count("*").alias("nodes")).join(F.broadcast(lines.agg(F.count("*").alias("lines"))))
+
+
+_DENSITY = "SELECT round(sum(infrastructure_length) / 10.5, 4) AS edge_density, (SELECT count(*) FROM node) / 10.5::DOUBLE AS node_density, (SELECT count(*) FROM {} WHERE degree = 1) / 10.5::DOUBLE AS dangling_density FROM {}"
+
+
+@query(_DENSITY.format(DEGREE, C_EDGE))
+def network_density(s, d):
+    e = edges(s, d)
+    of_nodes = T.degrees(e).agg((F.count("*") / 10.5).alias("node_density"), (F.count(F.when(F.col("degree") == 1, 1)) / 10.5).alias("dangling_density"))
+    return classified(e).agg(F.round(F.sum("infrastructure_length") / 10.5, 4).alias("edge_density")).join(F.broadcast(of_nodes))
+
+
+def _counts(e: DataFrame) -> DataFrame:
+    """One row: v nodes, p components; and e edges."""
+    parts = T.node_components(e)
+    return parts.agg(F.count("*").alias("v"), F.countDistinct("component").alias("p")).join(F.broadcast(e.agg(F.count("*").alias("e"))))
+
+
+@query("SELECT " + ", ".join(f"round({x}, 9) AS {k}" for k, x in T.alpha_beta_gamma().items()) + f" FROM (SELECT count(*) AS v, count(DISTINCT component) AS p, (SELECT count(*) FROM edge) AS e FROM {COMPONENT})", reach=True)
+def alpha_beta_gamma(s, d):
+    return _counts(edges(s, d)).selectExpr(*[f"round({x}, 9) AS {k}" for k, x in T.alpha_beta_gamma().items()])
+
+
+# components
+@query(f"SELECT n, component FROM {COMPONENT}", reach=True)
+def components(s, d):
+    return T.node_components(edges(s, d))
+
+
+@query(f"SELECT component, round(sum(length), 4) AS length, count(*) AS edges FROM edge JOIN {COMPONENT} ON u = n GROUP BY component", reach=True)
+def component_lengths(s, d):
+    return T.edge_components(edges(s, d)).groupBy("component").agg(F.round(F.sum("length"), 4).alias("length"), F.count("*").alias("edges"))
+
+
+@query(f"SELECT component, length, row_number() OVER (ORDER BY length DESC, component) AS rank FROM (SELECT component, round(sum(length), 4) AS length FROM edge JOIN {COMPONENT} ON u = n GROUP BY component)", reach=True)
+def component_rank(s, d):
+    from pyspark.sql import Window
+
+    sums = T.edge_components(edges(s, d)).groupBy("component").agg(F.round(F.sum("length"), 4).alias("length"))
+    return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("length"), "component")).cast("long"))
+
+
+@query(f"SELECT component, nodes, round(100 * length / (SELECT sum(length) FROM edge), 4) AS length_pct FROM (SELECT component, count(DISTINCT c.n) AS nodes FROM {COMPONENT} c GROUP BY component ORDER BY nodes DESC, component LIMIT 1) JOIN (SELECT component, sum(length) AS length FROM edge JOIN {COMPONENT} ON u = n GROUP BY component) USING (component)", reach=True)
+def largest_component(s, d):
+    parts = written(T.node_components(edges(s, d)), "parts")
+    top = parts.groupBy("component").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "component").limit(1)
+    sums = T.edge_components(edges(s, d), parts).join(F.broadcast(top), "component", "left")
+    return sums.agg(F.max("component").alias("_"), F.max(F.when(F.col("nodes").isNotNull(), F.col("component"))).alias("component"), F.max("nodes").alias("nodes"), F.round(100 * F.sum(F.when(F.col("nodes").isNotNull(), F.col("length"))) / F.sum("length"), 4).alias("length_pct")).drop("_")
+
+
+@query(f"SELECT id, component FROM edge JOIN {COMPONENT} ON u = n", reach=True)
+def edge_components(s, d):
+    return T.edge_components(edges(s, d)).select("id", "component")
+
+
+_CELL_PARTS = f"(SELECT DISTINCT cx, cy, component FROM {overlay_sql('edge', CELL)} JOIN {COMPONENT} ON u = n)"
+
+
+def _cell_parts(s, d):
+    return overlay(T.edge_components(edges(s, d)), CELL).select("cx", "cy", "component").distinct()
+
+
+@query(f"SELECT cx, cy, string_agg(component::VARCHAR, ',' ORDER BY component) AS components FROM {_CELL_PARTS} GROUP BY cx, cy", reach=True)
+def cell_components(s, d):
+    return _cell_parts(s, d).groupBy("cx", "cy").agg(F.array_join(F.array_sort(F.collect_list("component")), ",").alias("components"))
+
+
+@query(f"SELECT cx, cy, sum(cells)::BIGINT AS cells_reached, round(100 * sum(cells) / (SELECT count(DISTINCT (cx, cy)) FROM {_CELL_PARTS}), 2) AS reached_pct FROM {_CELL_PARTS} JOIN (SELECT component, count(*) AS cells FROM {_CELL_PARTS} GROUP BY component) USING (component) GROUP BY cx, cy", reach=True)
+def cell_reach(s, d):
+    parts = written(_cell_parts(s, d), "cell-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("cells"))
+    total = parts.agg(F.countDistinct("cx", "cy").alias("total"))
+    return parts.join(sizes, "component").groupBy("cx", "cy").agg(F.sum("cells").alias("cells_reached")).join(F.broadcast(total)).withColumn("reached_pct", F.round(100 * F.col("cells_reached") / F.col("total"), 2)).drop("total")
+
+
+# quality
+@query(f"SELECT id FROM edge JOIN {DEGREE} a ON u = a.n JOIN {DEGREE} b ON v = b.n WHERE length <= 100 AND (a.degree = 1) <> (b.degree = 1)")
+def overshoots(s, d):
+    return T.overshoots(edges(s, d), 100.0).select("id")
+
+
+_OWN = f"(SELECT u AS n, v AS far FROM edge JOIN {DEGREE} q ON q.n = u AND degree = 1 UNION ALL SELECT v, u FROM edge JOIN {DEGREE} q ON q.n = v AND degree = 1)"
+
+
+@query(f"SELECT o.n, e.id FROM {_OWN} o JOIN node p ON p.n = o.n JOIN edge e ON e.u NOT IN (o.n, o.far) AND e.v NOT IN (o.n, o.far) AND {point_segment('p.x', 'p.y', 'e.x1', 'e.y1', 'e.x2', 'e.y2')} <= {TOL}")
+def undershoots(s, d):
+    return T.undershoots(edges(s, d), nodes(s, d), TOL)
+
+
+@query(f"SELECT l.id, count(*) AS n FROM edge l JOIN edge r ON l.id <> r.id AND {crosses('l', 'r')} GROUP BY l.id")
+def crossings(s, d):
+    return T.crossings(edges(s, d))
+
+
+_GROUND = "(SELECT * FROM edge WHERE coalesce(bridge NOT IN ('yes', 'passage'), true) AND coalesce(tunnel NOT IN ('yes', 'passage'), true))"
+
+
+@query(f"SELECT l.id, count(*) AS n FROM {_GROUND} l JOIN {_GROUND} r ON l.id <> r.id AND {crosses('l', 'r')} GROUP BY l.id")
+def missing_intersections(s, d):
+    return T.missing_intersections(edges(s, d))
+
+
+_GAP = f"(SELECT l.id AS a, r.id AS b, {segment_distance('l', 'r')} AS distance FROM (SELECT * FROM edge JOIN {COMPONENT} ON u = n) l JOIN (SELECT * FROM edge JOIN {COMPONENT} ON u = n) r ON l.id < r.id AND l.component <> r.component AND {segment_distance('l', 'r')} <= {GAP})"
+
+
+@query(f"SELECT a, b, round(distance, 6) AS distance FROM {_GAP}", reach=True)
+def component_gaps(s, d):
+    e = edges(s, d)
+    return T.gaps(e, T.node_components(e), GAP).withColumn("distance", r6("distance"))
+
+
+@query(f"SELECT a AS id FROM {_GAP} UNION SELECT b FROM {_GAP}", reach=True)
+def gap_edges(s, d):
+    e = edges(s, d)
+    return T.gaps(e, T.node_components(e), GAP).select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+# geometry
+def _bent(s, d) -> DataFrame:
+    """Lines with three vertices: an edge with a bend beside its middle."""
+    return edges(s, d).withColumn("line", F.array(G.point("x1", "y1"), F.struct(((F.col("x1") + F.col("x2")) / 2 + 5).alias("x"), ((F.col("y1") + F.col("y2")) / 2 - 7).alias("y")), G.point("x2", "y2")))
+
+
+_BENT = "(SELECT *, (x1 + x2) / 2 + 5 AS xm, (y1 + y2) / 2 - 7 AS ym FROM edge)"
+_A, _B = "sqrt((xm-x1)*(xm-x1)+(ym-y1)*(ym-y1))", "sqrt((x2-xm)*(x2-xm)+(y2-ym)*(y2-ym))"
+
+
+@query(f"SELECT id, 0 AS part, round({_A}, 6) AS length FROM {_BENT} UNION ALL SELECT id, 1, round({_B}, 6) FROM {_BENT}")
+def unzip_lines(s, d):
+    return _bent(s, d).select("id", F.posexplode(G.unzip(F.col("line"))).alias("part", "l")).select("id", "part", r6(G.length(F.col("l"))).alias("length"))
+
+
+@query(f"SELECT id, round({_A} + {_B}, 6) AS length, round(({_A}*(x1+xm)/2 + {_B}*(xm+x2)/2) / ({_A}+{_B}), 6) AS cx, round(({_A}*(y1+ym)/2 + {_B}*(ym+y2)/2) / ({_A}+{_B}), 6) AS cy, round(abs(x1*ym-xm*y1+xm*y2-x2*ym+x2*y1-x1*y2)/2, 4) AS triangle FROM {_BENT}")
+def line_measures(s, d):
+    line = F.col("line")
+    c = G.centroid(line)
+    return _bent(s, d).select("id", r6(G.length(line)).alias("length"), r6(c["x"]).alias("cx"), r6(c["y"]).alias("cy"), F.round(G.ring_area(line), 4).alias("triangle"))
+
+
+@query("SELECT id, CASE WHEN a > 90 THEN round(180 - a, 6) ELSE round(a, 6) END AS angle FROM (SELECT id, abs(degrees(atan2(x2-x1, y2-y1))) AS a FROM edge)")
+def angle(s, d):
+    north = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y")))
+    line = F.array(G.point("x1", "y1"), G.point("x2", "y2"))
+    return edges(s, d).select("id", r6(G.direction_angle(line, north)).alias("angle"))
+
+
+_HD = M.HAUSDORFF.replace("l.", "e.").replace("r.", "q.")
+
+
+@query(f"SELECT e.id, round({_HD}, 6) AS hausdorff FROM edge e JOIN ref q ON q.id = e.id")
+def hausdorff(s, d):
+    both = edges(s, d).select("id", F.array(G.point("x1", "y1"), G.point("x2", "y2")).alias("a")).join(reference_edges(s, d).select("id", F.array(G.point("x1", "y1"), G.point("x2", "y2")).alias("b")), "id")
+    return both.select("id", r6(G.hausdorff(F.col("a"), F.col("b"))).alias("hausdorff"))
+
+
+@query("SELECT id, round(2 * 6371009 * asin(sqrt(least(1.0, pow(sin(radians(y2/1e4 - y1/1e4)/2), 2) + cos(radians(y1/1e4)) * cos(radians(y2/1e4)) * pow(sin(radians(x2/1e4 - x1/1e4)/2), 2)))), 3) AS metres FROM edge")
+def haversine(s, d):
+    k = lambda c: F.col(c) / 1e4
+    return edges(s, d).select("id", G.haversine(k("y1"), k("x1"), k("y2"), k("x2")).alias("metres"))
+
+
+@query("SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM node")
+def bounds(s, d):
+    return nodes(s, d).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+
+
+_PIECES = f"""(SELECT *, x1 + a / whole * (x2 - x1) AS nx1, y1 + a / whole * (y2 - y1) AS ny1, x1 + b / whole * (x2 - x1) AS nx2, y1 + b / whole * (y2 - y1) AS ny2 FROM (
+  SELECT *, part * {PIECE} AS a, CASE WHEN part = k - 1 THEN whole ELSE (part + 1) * {PIECE} END AS b FROM (
+    SELECT s.*, length AS whole, k, part FROM (SELECT *, greatest(1, floor(length / {PIECE})::INT + (length - floor(length / {PIECE}) * {PIECE} >= {PIECE} / 3)::INT) AS k FROM {{}}) s, range(k) p(part)) q) q)"""
+_SEG = "(SELECT id, id * 10000 + part AS seg, part, nx1 AS x1, ny1 AS y1, nx2 AS x2, ny2 AS y2, b - a AS length{} FROM {} q)"
+SEG_E, SEG_R = (_SEG.format("", _PIECES.format(t)) for t in ("edge", "ref"))
+
+
+def _pieces(e: DataFrame) -> DataFrame:
+    return M.numbered(M.segments(e, PIECE))
+
+
+@query(f"SELECT seg, round(length, 6) AS length, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM {SEG_E}")
+def segments(s, d):
+    return _pieces(edges(s, d)).select("seg", r6("length").alias("length"), r6("x2").alias("x2"), r6("y2").alias("y2"))
+
+
+# matching
+_CAND = f"cand AS (SELECT l.seg AS ref, r.seg AS other, {M.FOLDED} AS angle, {M.HAUSDORFF} AS h FROM seg_r l JOIN seg_e r ON least(r.x1, r.x2) <= greatest(l.x1, l.x2) + {BUFFER} AND greatest(r.x1, r.x2) >= least(l.x1, l.x2) - {BUFFER} AND least(r.y1, r.y2) <= greatest(l.y1, l.y2) + {BUFFER} AND greatest(r.y1, r.y2) >= least(l.y1, l.y2) - {BUFFER} AND {segment_distance('l', 'r')} <= {BUFFER})"
+_BEST = f"best AS (SELECT ref, other AS match, h AS hausdorff FROM (SELECT ref, other, round(h, 6) AS h, row_number() OVER (PARTITION BY ref ORDER BY round(h, 6), other) AS rn FROM cand WHERE angle <= {ANGLE} AND h <= {HAUSDORFF}) WHERE rn = 1)"
+_MATCH = f"seg_e AS MATERIALIZED {SEG_E}, seg_r AS MATERIALIZED {SEG_R}, {_CAND}, {_BEST}"
+
+
+def _matched(s, d):
+    e, r = _pieces(edges(s, d)), _pieces(reference_edges(s, d))
+    return e, r, M.best_matches(M.candidates(r, e, BUFFER), ANGLE, HAUSDORFF)
+
+
+@query("SELECT ref, count(*) AS count, min(other) AS first FROM cand GROUP BY ref", more=_MATCH)
+def buffer_candidates(s, d):
+    return M.candidates(_pieces(reference_edges(s, d)), _pieces(edges(s, d)), BUFFER).groupBy(F.col("l.seg").alias("ref")).agg(F.count("*").alias("count"), F.min("r.seg").alias("first"))
+
+
+@query("SELECT ref, match, hausdorff FROM best", more=_MATCH)
+def best_match(s, d):
+    return _matched(s, d)[2]
+
+
+@query("""SELECT side, count(*) AS segments, count(*) FILTER (m) AS matched, round(sum(length), 3) AS length, round(coalesce(sum(length) FILTER (m), 0), 3) AS matched_length,
+  round(100 * count(*) FILTER (m) / count(*), 2) AS percent, round(100 * coalesce(sum(length) FILTER (m), 0) / sum(length), 2) AS length_percent
+  FROM (SELECT 'reference' AS side, length, seg IN (SELECT ref FROM best) AS m FROM seg_r UNION ALL SELECT 'other', length, seg IN (SELECT match FROM best) FROM seg_e) GROUP BY side""", more=_MATCH)
+def match_stats(s, d):
+    e, r, found = _matched(s, d)
+    return M.statistics(r, e, found).withColumns({c: F.round(c, 3) for c in ("length", "matched_length")})
+
+
+@query(f"SELECT a.protected AS ref_protected, b.protected AS osm_protected, count(*) AS count FROM best JOIN {C_REF} a ON a.id = ref // 10000 JOIN {C_EDGE} b ON b.id = match // 10000 GROUP BY ALL", more=_MATCH)
+def match_protection(s, d):
+    found = _matched(s, d)[2].withColumns({"a": F.expr("ref div 10000"), "b": F.expr("match div 10000")})
+    of = lambda e, key, name: R.protection(e, TYPES).select(F.col("id").alias(key), F.col("protected").alias(name))
+    both = found.join(of(reference_edges(s, d), "a", "ref_protected"), "a").join(of(edges(s, d), "b", "osm_protected"), "b")
+    return both.groupBy("ref_protected", "osm_protected").agg(F.count("*").alias("count"))
+
+
+@query(f"""SELECT cx, cy, count(*) AS segments, count(*) FILTER (m) AS matched, count(*) - count(*) FILTER (m) AS unmatched, round(100 * count(*) FILTER (m) / count(*), 2) AS matched_pct, round(sum(part) / {KM2}, 3) AS density
+  FROM (SELECT *, seg IN (SELECT match FROM best) AS m FROM {overlay_sql('seg_e', CELL)}) GROUP BY cx, cy""", more=_MATCH)
+def match_grid(s, d):
+    e, _, found = _matched(s, d)
+    hit = F.count(F.when(F.col("matched"), 1))
+    return overlay(M.split(e, found, "match"), CELL).groupBy("cx", "cy").agg(F.count("*").alias("segments"), hit.alias("matched"), (F.count("*") - hit).alias("unmatched"), F.round(100 * hit / F.count("*"), 2).alias("matched_pct"), F.round(F.sum("part") / KM2, 3).alias("density"))
+
+
+# comparison
+@query(f"SELECT round(b - a, 3) AS difference, round(abs(b - a) / a * 100, 4) AS percent FROM (SELECT (SELECT sum(infrastructure_length) FROM {C_EDGE}) AS a, (SELECT sum(infrastructure_length) FROM {C_REF}) AS b)")
+def length_diff(s, d):
+    total = lambda e, n: classified(e).agg(F.sum("infrastructure_length").alias(n))
+    return total(edges(s, d), "a").join(F.broadcast(total(reference_edges(s, d), "b"))).select(F.round(F.col("b") - F.col("a"), 3).alias("difference"), F.round(F.try_divide(F.abs(F.col("b") - F.col("a")), "a") * 100, 4).alias("percent"))
+
+
+def _density_sql(source, name, where="true"):
+    return f"(SELECT cx, cy, sum(infrastructure_length * part / length) FILTER ({where}) / {KM2} AS {name} FROM {overlay_sql(source, CELL)} GROUP BY cx, cy)"
+
+
+def _densities(e: DataFrame, name: str, *types: str) -> DataFrame:
+    share = F.col("infrastructure_length") * F.col("part") / F.col("length")
+    sums = [F.sum(share)] if not types else [F.sum(F.when(F.col("protected") == t, share)) for t in types]
+    return overlay(classified(e), CELL).groupBy("cx", "cy").agg(*[(x / KM2).alias(n) for x, n in zip(sums, [name] if not types else [f"{name}_{t}" for t in types])])
+
+
+@query(f"SELECT cx, cy, round(coalesce(b, 0) - coalesce(a, 0), 3) AS difference FROM {_density_sql(C_EDGE, 'a')} FULL JOIN {_density_sql(C_REF, 'b')} USING (cx, cy)")
+def density_diff(s, d):
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return _densities(edges(s, d), "a").join(_densities(reference_edges(s, d), "b"), ["cx", "cy"], "full").select("cx", "cy", F.round(z("b") - z("a"), 3).alias("difference"))
+
+
+_TYPED = "protected", "unprotected", "mixed"
+
+
+@query("SELECT cx, cy, " + ", ".join(f"round(coalesce(b_{t}, 0) - coalesce(a_{t}, 0), 3) AS {t}_difference" for t in _TYPED) + " FROM " + " FULL JOIN ".join(f"(SELECT cx, cy, " + ", ".join(f"sum(infrastructure_length * part / length) FILTER (protected = '{t}') / {KM2} AS {n}_{t}" for t in _TYPED) + f" FROM {overlay_sql(src, CELL)} GROUP BY cx, cy) {n}" for n, src in (("a", C_EDGE), ("b", C_REF))) + " USING (cx, cy)")
+def typed_density_diff(s, d):
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    both = _densities(edges(s, d), "a", *_TYPED).join(_densities(reference_edges(s, d), "b", *_TYPED), ["cx", "cy"], "full")
+    return both.select("cx", "cy", *[F.round(z(f"b_{t}") - z(f"a_{t}"), 3).alias(f"{t}_difference") for t in _TYPED])
+
+
+_LOOSE = "(SELECT count(*) FROM (SELECT n FROM (SELECT u AS n FROM {0} UNION ALL SELECT v FROM {0}) GROUP BY n HAVING count(*) = 1))"
+
+
+@query(f"SELECT round(100 * ({_LOOSE.format('ref')} - {_LOOSE.format('edge')}) / nullif({_LOOSE.format('edge')}, 0), 2) AS dangling_diff_pct")
+def dangling_diff_pct(s, d):
+    n = lambda e, k: T.dangling(e).agg(F.count("*").alias(k))
+    return n(edges(s, d), "a").join(F.broadcast(n(reference_edges(s, d), "b"))).select(F.round(F.try_divide(100 * (F.col("b") - F.col("a")), "a"), 2).alias("dangling_diff_pct"))
+
+
+_SUMS = "SELECT 'length_km' AS metric, {0} AS {1}, 0 AS nth FROM (SELECT round(sum(length) / 1000, 6) AS {1} FROM {2})"
+
+
+@query("SELECT metric, a.osm, b.ref FROM (" + "), (".join([]) + " UNION ALL ".join(x.format("edge", "osm") for x in ("SELECT 'edges' AS metric, count(*)::DOUBLE AS {1} FROM {0}", "SELECT 'nodes', count(DISTINCT n)::DOUBLE FROM (SELECT u AS n FROM {0} UNION ALL SELECT v FROM {0})", "SELECT 'length_km', round(sum(length) / 1000, 6) FROM {0}")) + ") a JOIN (" + " UNION ALL ".join(x.format("ref", "ref") for x in ("SELECT 'edges' AS metric, count(*)::DOUBLE AS {1} FROM {0}", "SELECT 'nodes', count(DISTINCT n)::DOUBLE FROM (SELECT u AS n FROM {0} UNION ALL SELECT v FROM {0})", "SELECT 'length_km', round(sum(length) / 1000, 6) FROM {0}")) + ") b USING (metric)")
+def summary_join(s, d):
+    def metrics(e, name):
+        of_edges = e.agg(F.array(F.struct(F.lit("edges").alias("metric"), F.count("*").cast("double").alias(name)), F.struct(F.lit("length_km").alias("metric"), r6(F.sum("length") / 1000).alias(name))).alias("m"))
+        of_nodes = T.ends(e).agg(F.array(F.struct(F.lit("nodes").alias("metric"), F.countDistinct("n").cast("double").alias(name))).alias("m"))
+        return of_edges.unionByName(of_nodes).select(F.inline("m"))
+
+    return metrics(edges(s, d), "osm").join(metrics(reference_edges(s, d), "ref"), "metric")
+
+
+def _reach(e: DataFrame, name: str) -> DataFrame:
+    parts = written(overlay(T.edge_components(e), CELL).select("cx", "cy", "component").distinct(), "cell-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("cells"))
+    return parts.join(sizes, "component").groupBy("cx", "cy").agg(F.sum("cells").alias(name))
+
+
+_REACH_OF = "(SELECT cx, cy, sum(cells)::BIGINT AS {1} FROM {0} JOIN (SELECT component, count(*) AS cells FROM {0} GROUP BY component) USING (component) GROUP BY cx, cy)"
+_REF_PARTS = f"(SELECT DISTINCT cx, cy, component FROM {overlay_sql('ref', CELL)} JOIN (SELECT n, min(m) AS component FROM reach_r GROUP BY n) ON u = n)"
+
+
+@query(f"SELECT cx, cy, b - a AS difference FROM {_REACH_OF.format(_CELL_PARTS, 'a')} FULL JOIN {_REACH_OF.format(_REF_PARTS, 'b')} USING (cx, cy)", reach=True, more="sym_r(a, b) AS (SELECT u, v FROM ref UNION SELECT v, u FROM ref), reach_r(n, m) AS (SELECT a, a FROM sym_r UNION SELECT s.b, r.m FROM reach_r r JOIN sym_r s ON s.a = r.n WHERE r.m < s.b)")
+def reach_diff(s, d):
+    return _reach(edges(s, d), "a").join(_reach(reference_edges(s, d), "b"), ["cx", "cy"], "full").select("cx", "cy", (F.col("b") - F.col("a")).alias("difference"))
+
+
+# simplification
+_NEIGH = "(SELECT n, count(*) AS degree, count(DISTINCT m) AS others, bool_or(n = m) AS loop FROM (SELECT u AS n, v AS m FROM edge UNION ALL SELECT v, u FROM edge) GROUP BY n)"
+_ENDPOINT = f"ep AS MATERIALIZED (SELECT n, (others <> 2 OR degree <> 2 OR loop) AS endpoint FROM {_NEIGH})"
+_CHAIN = _ENDPOINT + ", inn(a, b) AS (SELECT u, v FROM edge WHERE u IN (SELECT n FROM ep WHERE NOT endpoint) AND v IN (SELECT n FROM ep WHERE NOT endpoint)), symi(a, b) AS (SELECT a, b FROM inn UNION SELECT b, a FROM inn), walk(n, m) AS (SELECT n, n FROM ep WHERE NOT endpoint UNION SELECT s.b, w.m FROM walk w JOIN symi s ON s.a = w.n WHERE w.m < s.b), chain AS (SELECT n, min(m) AS chain FROM walk GROUP BY n), tied AS (SELECT e.*, pu.endpoint AS eu, pv.endpoint AS ev, coalesce(cu.chain, cv.chain) AS chain FROM edge e JOIN ep pu ON pu.n = e.u JOIN ep pv ON pv.n = e.v LEFT JOIN chain cu ON cu.n = e.u LEFT JOIN chain cv ON cv.n = e.v)"
+
+
+@query("SELECT n, endpoint FROM ep", more=_ENDPOINT)
+def endpoints(s, d):
+    return T.endpoints(edges(s, d))
+
+
+@query("""SELECT chain, NULL::BIGINT AS single, min(x)::BIGINT AS u, max(x)::BIGINT AS v, count(DISTINCT id) AS edges, round(sum(length / k), 4) AS length FROM (
+  SELECT chain, id, length, CASE WHEN eu THEN u WHEN ev THEN v END AS x, 1 AS k FROM tied WHERE chain IS NOT NULL) GROUP BY chain
+  UNION ALL SELECT NULL, id, least(u, v), greatest(u, v), 1, round(length, 4) FROM tied WHERE chain IS NULL""", more=_CHAIN)
+def simplified_edges(s, d):
+    return T.simplified(edges(s, d)).withColumn("length", F.round("length", 4))
+
+
+@query("SELECT round(100.0 * ((SELECT count(*) FROM edge) - (SELECT count(DISTINCT chain) + count(*) FILTER (chain IS NULL) FROM tied)) / (SELECT count(*) FROM edge), 4) AS edges_pct, round(100.0 * count(*) FILTER (NOT endpoint) / count(*), 4) AS nodes_pct FROM ep", more=_CHAIN)
+def simplify_outcome(s, d):
+    e = edges(s, d)
+    after = T.simplified(e).agg(F.count("*").alias("after"))
+    passed = T.endpoints(e).agg(F.round(100 * F.avg((~F.col("endpoint")).cast("double")), 4).alias("nodes_pct"))
+    return e.agg(F.count("*").alias("before")).join(F.broadcast(after)).join(F.broadcast(passed)).select(F.round(100 * (F.col("before") - F.col("after")) / F.col("before"), 4).alias("edges_pct"), "nodes_pct")
+
+
+@query("""SELECT id, u, v, round(length, 6) AS length FROM (
+  SELECT id, u, v, length, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY id) AS k FROM edge) WHERE k = 1
+  UNION ALL SELECT id, unnest([u, 10000000 + 2 * id]), unnest([10000000 + 2 * id, v]), unnest([round(length / 2, 6), round(length / 2, 6)]) FROM (
+  SELECT id, u, v, length, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY id) AS k FROM edge) WHERE k > 1""")
+def simple_graph(s, d):
+    return T.simple_graph(edges(s, d), 10_000_000).withColumn("length", r6("length"))
+
+
+# polygons: beyond SQL without spatial functions; tests hold them against plain versions
+@query()
+def graph_area(s, d):
+    return P.graph_area(nodes(s, d))
+
+
+@query()
+def clipped_area(s, d):
+    return P.graph_area(nodes(s, d), [(0.0, 0.0), (1500.0, 0.0), (2000.0, 1500.0), (0.0, 2000.0)])
+
+
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    return grid_density(s, d)
