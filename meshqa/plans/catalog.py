@@ -407,7 +407,7 @@ def bounds(s, d):
 _PIECES = f"""(SELECT *, x1 + a / whole * (x2 - x1) AS nx1, y1 + a / whole * (y2 - y1) AS ny1, x1 + b / whole * (x2 - x1) AS nx2, y1 + b / whole * (y2 - y1) AS ny2 FROM (
   SELECT *, part * {PIECE} AS a, CASE WHEN part = k - 1 THEN whole ELSE (part + 1) * {PIECE} END AS b FROM (
     SELECT s.*, length AS whole, k, part FROM (SELECT *, greatest(1, floor(length / {PIECE})::INT + (length - floor(length / {PIECE}) * {PIECE} >= {PIECE} / 3)::INT) AS k FROM {{}}) s, range(k) p(part)) q) q)"""
-_SEG = "(SELECT id, id * 10000 + part AS seg, part, nx1 AS x1, ny1 AS y1, nx2 AS x2, ny2 AS y2, b - a AS length{} FROM {} q)"
+_SEG = "(SELECT id, id * 10000 + part AS seg, nx1 AS x1, ny1 AS y1, nx2 AS x2, ny2 AS y2, b - a AS length{} FROM {} q)"
 SEG_E, SEG_R = (_SEG.format("", _PIECES.format(t)) for t in ("edge", "ref"))
 
 
