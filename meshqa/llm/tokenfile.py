@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.bpe import encoder, packed
+from meshqa.llm.bpe import PATTERN, encoder, packed
 from meshqa.llm.common import new_path, table, tokenizer_path
 
 MAGIC = b"DAC1"
@@ -30,6 +31,8 @@ RANK_BITS = 512
 END_ID = 2
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 18
+#: Longer texts are encoded as a stream.
+LONG = 200_000
 SCHEMA = "part int, seq int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
@@ -95,6 +98,41 @@ class Codes:
         return out
 
 
+class Ids:
+    """Ids of whole texts. The compiled core of tiktoken merges the same vocabulary several times faster than the streaming
+    transducer, which takes texts of more than LONG characters in bounded memory; special strings are cut out first."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.stream = encoder(path)
+        merges = self.stream.merges
+        by_rank = [whole for _, whole in merges.rank.values()]
+        if by_rank != sorted(by_rank) or max(merges.single) > min(by_rank):
+            raise ValueError("ids are not in the order of merges")
+        self.core = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=merges.ids, special_tokens={})
+        self.special = {s: packed([i]) for s, i in merges.special.items()}
+
+    def of(self, text: str) -> list[bytes]:
+        if len(text) > LONG:
+            return list(self.stream.stream_text(text))
+        if not any(s in text for s in self.special):
+            return [self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()]
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[bytes]:
+        out, at = [], 0
+        for m in self.stream.special.finditer(text):
+            out += [*self.of(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return [*out, *self.of(text[at:])]
+
+
+@lru_cache(maxsize=4)
+def _ids(path: str) -> Ids:
+    return Ids(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode every text of docs (doc_id, text) and write token files to path, in ascending doc_id order.
 
@@ -103,7 +141,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     """
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = _ids(tokenizer), TaskContext.get().partitionId()
         ids, doc_ids, lengths, held, seq, start = [], [], [], 0, 0, 0
 
         def closed() -> pd.DataFrame:
@@ -114,7 +152,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
             known = batch["known"].to_numpy()
             for doc, here, text in zip(batch["doc_id"].to_numpy(), known, batch["text"]):
                 n = 1
-                for some in enc.stream_text(text or ""):
+                for some in enc.of(text or ""):
                     ids.append(some)
                     n += len(some) // 4
                 ids.append(packed([end_id]))
