@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshqa.llm.common import fraction, n_words, table, written
+from meshqa.llm.common import fraction, n_words, table, whole_row, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,7 +73,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Null text has size 0, a null source is a source of its own, repeated ids share their coin, an empty table stays
     empty. Other columns, whatever their names, are carried in a struct and come back unchanged.
     """
-    held = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    held = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), whole_row(docs).alias("_row"))
     made = plan(written(held.select("doc_id", "source", "size"), "mix-sizes"))
     taken = copies(held.select("doc_id", "source", "_row"), made).where("copies > 0")
     repeated = taken.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_n"))

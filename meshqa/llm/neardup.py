@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.common import table, written
+from meshqa.llm.common import table, whole_row, written
 from meshqa.operators.components import components
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
@@ -167,7 +167,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     of a component of null ids one: that with the least hash of all its values."""
     marked = groups(docs.select("doc_id", "text"))
     smallest = written(marked.groupBy("component_id").agg(F.count("*").alias("_n")).select("component_id"), "simhash-kept")
-    whole = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("_row"))
+    whole = docs.select(F.col("doc_id"), whole_row(docs).alias("_row"))
     mine = whole.join(smallest, whole["doc_id"].eqNullSafe(smallest["component_id"]), "left_semi")
     # one row an id: ids are unique as a rule, so this shuffles what stays only
     return mine.groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")

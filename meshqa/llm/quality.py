@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.common import WORD, table, words
+from meshqa.llm.common import WORD, table, whole_row, words
 
 BUCKETS = 65536
 #: Pseudo-count of a bucket in the raw multinomial, and of the whole raw multinomial in the target's.
@@ -105,7 +105,7 @@ def base_columns(docs: DataFrame, *more: str) -> DataFrame:
     )
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda c, i: F.least(F.coalesce(F.get(p, i + 1) - c, F.lit(3)), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda a, c: a + c)
-    return repeated.select(
+    measured = repeated.select(
         "doc_id",
         *more,
         "_h",
@@ -114,7 +114,11 @@ def base_columns(docs: DataFrame, *more: str) -> DataFrame:
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+        F.monotonically_increasing_id().alias("_at"),
+    ).withColumn("n_repeat_words", F.when(F.col("_at") >= 0, F.col("n_repeat_words")).otherwise(F.lit(0)))
+    # _at, which is never negative, holds filters above these projections: pushed through them, a filter would hold each
+    # of their nested expressions many times over
+    return measured
 
 
 def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -129,10 +133,8 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, columns as given: judged in one pass, without a join back."""
-    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    judged = _judged(base_columns(held, "_row"), fit(docs, trusted)).select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
-    # _at keeps the filter above the projections: pushed through them, it would hold each of their nested expressions many times over
-    return judged.where("kept and _at >= 0").select("_row.*")
+    held = docs.select("doc_id", "text", whole_row(docs).alias("_row"))
+    return _judged(base_columns(held, "_row"), fit(docs, trusted)).where("kept").select("_row.*")
 
 
 def _judged(base: DataFrame, ratio: list[int]) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.common import table
+from meshqa.llm.common import table, whole_row
 
 SIZES = (3, 4, 5, 6)
 TABLE = 1 << 20
@@ -144,6 +144,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", scored(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score below 0.5, columns as given."""
+    return score(docs.select("text", whole_row(docs).alias("_row")), model).where("score < 0.5").select("_row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text; others are not read): doc_id, held_out, score, predicted.
 
