@@ -155,12 +155,16 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.rest, self.long, self.kind = "", None, None
+        self.tail, self.rest, self.long, self.kind = "", "", None, None
 
     def _mark(self, text: str):
         """The first special token in a text."""
         return self.special.search(text) if any(s in text for s in self.merges.special) else None
 
+    def _begun(self, text: str) -> int:
+        """The length of the longest end of a text with which a special token may begin, less than whole."""
+        return next((k for k in range(min(len(text), self.wait - 1), 0, -1) if any(s.startswith(text[-k:]) and k < len(s) for s in self.merges.special)), 0)
+
     def _ids(self, pieces: list[str], out: list[bytes]) -> None:
         known = self.known
         ids = list(map(known.get, pieces))
@@ -179,24 +183,32 @@ class Encoder:
         return ids
 
     def feed(self, chunk: str, last: bool = False) -> bytes:
+        """Special tokens part the text; what may have begun one waits for the next chunk."""
         out: list[bytes] = []
-        text, self.rest = self.rest + chunk, ""
+        text, self.tail = self.tail + chunk, ""
+        while mark := self._mark(text):
+            self._plain(text[: mark.start()], True, out)
+            out.append(packed([self.merges.special[mark[0]]]))
+            text = text[mark.end() :]
+        if not last and (begun := self._begun(text)):
+            text, self.tail = text[:-begun], text[-begun:]
+        self._plain(text, last, out)
+        return b"".join(out)
+
+    def _plain(self, text: str, last: bool, out: list[bytes]) -> None:
+        """Text without special tokens; last: it ends here."""
+        text, self.rest = self.rest + text, ""
         while text:
             if self.long is not None:
                 text = self._continue(text, last, out)
                 if self.long is not None:
                     break
                 continue
-            mark = self._mark(text)
-            end = mark.start() if mark else len(text)
-            if mark or last:
-                self._ids(self.pieces.findall(text[:end]), out)
-                if mark:
-                    out.append(packed([self.merges.special[mark[0]]]))
-                text = text[mark.end() :] if mark else ""
-                continue
-            # the last piece, and what may begin a special token or a contraction, waits for more text
-            safe, done, cut = max(0, len(text) - self.wait), [], 0
+            if last:
+                self._ids(self.pieces.findall(text), out)
+                break
+            # the last piece, and what may become a contraction, waits for more text
+            safe, done, cut = max(0, len(text) - 3), [], 0
             for m in self.pieces.finditer(text):
                 if m.end() >= safe:
                     break
@@ -212,7 +224,6 @@ class Encoder:
         if last and self.long is not None:
             out.append(packed(self.long.close()))
             self.long = None
-        return b"".join(out)
 
     def _open(self, piece: str) -> None:
         """Begin a piece of unknown end; its kind is that of its last character."""
@@ -220,32 +231,22 @@ class Encoder:
         self.long = PieceStream(self.merges)
 
     def _continue(self, text: str, last: bool, out: list[bytes]) -> str:
-        """Pass on what belongs to the open piece; give back the rest, or hold it until more text comes."""
+        """Pass on what belongs to the open piece; give back the rest, or hold one character until more text comes."""
         lead = 1 if self.kind != "spaces" and self.long.held == b"" and text[0] == " " else 0
         run = dict(_NEXT)[self.kind].match(text, lead)
         end = run.end() if run else lead
-        mark = self._mark(text)
-        if mark and mark.start() <= end:
-            end, closed = mark.start(), True
-        else:
-            closed = end < len(text) or last
-        if not closed:
-            # keep back what may turn out to begin a special token, and the space that may join the next piece
-            keep = max(1, self.wait)
-            out.append(packed(self.long.feed(text[: max(0, end - keep)].encode())))
-            self.rest = text[max(0, end - keep) :]
+        if end == len(text) and not last:
+            out.append(packed(self.long.feed(text[: end - 1].encode())))
+            self.rest = text[end - 1 :]
             return ""
-        if self.kind == "spaces" and not (mark and end == mark.start()) and end < len(text) and end > 1:
-            end -= 1
+        if self.kind == "spaces" and end < len(text):
+            end -= 1  # the last space joins what follows
         out.append(packed(self.long.feed(text[:end].encode()) + self.long.close()))
         self.long = None
         return text[end:]
 
     def close(self) -> bytes:
         out = self.feed("", last=True)
-        if self.rest:
-            text, self.rest = self.rest, ""
-            out += self.feed(text, last=True)
         self._reset()
         return out
 
