@@ -25,7 +25,7 @@ TABLE = 1 << 20
 SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20_000
 #: An n-gram is kept if |r| is this many standard errors, and at most so many are.
-STANDS_OUT, FEATURES = 3.0, 30_000
+STANDS_OUT, FEATURES = 4.0, 30_000
 RIDGE, STEPS = 1e-3, 300
 FOLDS = 5
 
