@@ -46,15 +46,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * total > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row of docs. Null text has no words: fingerprint 0."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, columns `more` and fp (the 64 bits as a long) for each row of docs. Null text has no words: fingerprint 0."""
 
     @F.pandas_udf("long")
     def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", marks(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
+    return docs.select("doc_id", *more, marks(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
 def _masks() -> list[int]:
@@ -146,6 +146,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_links, "u long, v long").distinct()
 
 
+def _rooted(marked: DataFrame, least: Column) -> DataFrame:
+    """fp, `least` over its rows, and root, a fingerprint that names its component."""
+    distinct = written(marked.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    found = components(links(distinct))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text; others are not read): doc_id, fp, component_id, the smallest doc_id
     reachable by links of fingerprints that differ in LIMIT bits or fewer.
@@ -154,23 +161,24 @@ def groups(docs: DataFrame) -> DataFrame:
     not among the smallest; a component of null ids alone has a null id. An empty table gives an empty result.
     """
     marked = written(fingerprints(docs), "simhash")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = _rooted(marked, F.min("doc_id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
     of_fp = rooted.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest doc_id, columns as given. Of rows that share this id one stays, and
-    of a component of null ids one: that with the least hash of all its values."""
-    marked = groups(docs.select("doc_id", "text"))
-    smallest = written(marked.groupBy("component_id").agg(F.count("*").alias("_n")).select("component_id"), "simhash-kept")
-    whole = docs.select(F.col("doc_id"), whole_row(docs).alias("_row"))
-    mine = whole.join(smallest, whole["doc_id"].eqNullSafe(smallest["component_id"]), "left_semi")
-    # one row an id: ids are unique as a rule, so this shuffles what stays only
-    return mine.groupBy("doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    """Of each component one row, columns as given: that with the smallest doc_id (null is above all others); of rows
+    that share this id, the one with the least hash of its text; of rows that share the text too, the one with the least
+    hash of all its values. Rows of equal or null ids whose texts are in different components all stay."""
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
+    names = ["_none", "_id", "_text"]
+    marked = written(fingerprints(docs.select("doc_id", "text"), *key), "simhash")
+    rooted = _rooted(marked, F.min(F.struct(*names)))
+    kept = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "simhash-kept")
+    # the rows that meet here are dealt and sorted by the columns that they are grouped by
+    whole = docs.select(*key, whole_row(docs).alias("_row")).join(kept, names, "left_semi")
+    return whole.groupBy(*names).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
