@@ -77,26 +77,27 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     prior = float(np.log(share / (1 - share)))
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)
-    rows = [np.unique(places(t)) for t in texts]
+    # places are found twice, so that only those of one text are held at a time
     counts = np.zeros((2, TABLE))
-    for p, t in zip(rows, toxic):
-        counts[t, p] += 1
+    for text, t in zip(texts, toxic):
+        counts[t, np.unique(places(text))] += 1
     a, b = counts[1] + 1, counts[0] + 1
     r = np.log(a / (n1 + 2)) - np.log(b / (n0 + 2))
     z = np.abs(r) / np.sqrt(1 / a + 1 / b)
     keep = np.flatnonzero(z > STANDS_OUT)
     keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:FEATURES]])
-    column = np.full(TABLE, -1)
-    column[keep] = np.arange(len(keep))
-    sparse = [c[c >= 0] for c in (column[p] for p in rows)]
-    col = np.concatenate(sparse) if sparse else np.zeros(0, int)
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in sparse])
     scaled = r[keep]
+    del a, b, counts, r, z
+    column = np.full(TABLE, -1, np.int32)
+    column[keep] = np.arange(len(keep))
+    sparse = [c[c >= 0] for c in (column[np.unique(places(text))] for text in texts)]
+    col = np.concatenate(sparse)
+    row = np.repeat(np.arange(len(sparse)), [len(c) for c in sparse])
     # each class counts for half, whatever its rows
     importance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     w, c, m, v, mc, vc = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), np.zeros(len(keep)), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        logit = np.bincount(row, (w * scaled)[col], len(rows)) + c
+        logit = np.bincount(row, (w * scaled)[col], len(sparse)) + c
         error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y) * importance
         g, gc = np.bincount(col, error[row], len(keep)) * scaled + RIDGE * w / max(1, len(keep)) ** 0.5, error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
