@@ -9,7 +9,7 @@ the labels' own share, so that 0.5 is the likelier class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.common import table, whole_row
+from meshqa.llm.common import new_path, table, whole_row
+from meshqa.sources.scratch import removed
 
 SIZES = (3, 4, 5, 6)
 TABLE = 1 << 20
-#: Bounds of the training sample: rows a class, in the order of a hash of their ids, and characters of a text.
+#: Bound of the training sample: rows a class, in the order of a hash of their ids. Their texts are read whole.
 SAMPLE_ROWS = 3000
-SAMPLE_CHARS = 20_000
 #: An n-gram is kept if |r| is this many standard errors, and at most so many are.
 STANDS_OUT, FEATURES = 4.0, 30_000
 RIDGE, STEPS = 1e-3, 300
@@ -73,24 +73,48 @@ def train(texts: list[str], toxic: list[int], share: float | None = None) -> Mod
     """share: of label 1 among all labelled rows, if the sample's differs. With one class or none, the share alone decides."""
     y = np.asarray(toxic, np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
-    share = min(1 - 1e-6, max(1e-6, share if share is not None else (n1 + 0.5) / (n1 + n0 + 1)))
-    prior = float(np.log(share / (1 - share)))
+    prior = _prior(share if share is not None else (n1 + 0.5) / (n1 + n0 + 1))
     if not n1 or not n0:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), prior)
     # places are found twice, so that only those of one text are held at a time
-    counts = np.zeros((2, TABLE))
+    keep, scaled = standing_out(count_places(texts, toxic), n1, n0)
+    column = columns_of(keep)
+    return weighed([c[c >= 0] for c in (column[np.unique(places(text))] for text in texts)], y, keep, scaled, prior)
+
+
+def _prior(share: float) -> float:
+    share = min(1 - 1e-6, max(1e-6, share))
+    return float(np.log(share / (1 - share)))
+
+
+def count_places(texts: Iterable[str], toxic: Iterable[int], counts: np.ndarray | None = None) -> np.ndarray:
+    """In how many texts of each class a place occurs, added to counts."""
+    counts = np.zeros((2, TABLE)) if counts is None else counts
     for text, t in zip(texts, toxic):
         counts[t, np.unique(places(text))] += 1
+    return counts
+
+
+def standing_out(counts: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
+    """The places that are features, ascending, and their ratios."""
     a, b = counts[1] + 1, counts[0] + 1
     r = np.log(a / (n1 + 2)) - np.log(b / (n0 + 2))
     z = np.abs(r) / np.sqrt(1 / a + 1 / b)
     keep = np.flatnonzero(z > STANDS_OUT)
     keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:FEATURES]])
-    scaled = r[keep]
-    del a, b, counts, r, z
+    return keep, r[keep]
+
+
+def columns_of(keep: np.ndarray) -> np.ndarray:
+    """The number of each place among the features, -1 for others."""
     column = np.full(TABLE, -1, np.int32)
     column[keep] = np.arange(len(keep))
-    sparse = [c[c >= 0] for c in (column[np.unique(places(text))] for text in texts)]
+    return column
+
+
+def weighed(sparse: list[np.ndarray], y: np.ndarray, keep: np.ndarray, scaled: np.ndarray, prior: float) -> Model:
+    """The logistic regression; sparse: the features that each text has."""
+    n1, n0 = y.sum(), (1 - y).sum()
     col = np.concatenate(sparse)
     row = np.repeat(np.arange(len(sparse)), [len(c) for c in sparse])
     # each class counts for half, whatever its rows
@@ -114,7 +138,7 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled rows outside the held-out fold: SAMPLE_ROWS a class at most, which also
-    bounds what is broadcast and what comes to the driver."""
+    bounds what is broadcast and what comes to the driver. Texts are read whole."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not total.n:
@@ -124,12 +148,56 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for t in (0, 1):
         part = known.where(F.col("toxic") == t).groupBy("labelled", "toxic").count().drop("count").orderBy(*by_hash).limit(SAMPLE_ROWS)
         sample = part if sample is None else sample.unionByName(part)
+    path = new_path(docs.sparkSession, "toxicity-sample")
     rows = (
-        docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
-        .groupBy("labelled", "toxic").agg(F.min("text").alias("text")).orderBy(*by_hash, "toxic").collect()
+        .groupBy("labelled", "toxic").agg(F.min("text").alias("text"))
     )
-    return train([r.text for r in rows], [r.toxic for r in rows], total.t / total.n)
+    rows.write.parquet(path)
+    model = _fit(docs.sparkSession.read.schema(rows.schema).parquet(path), total.t / total.n)
+    removed(docs.sparkSession, path)
+    return model
+
+
+def _fit(rows: DataFrame, share: float) -> Model:
+    """train() over rows (labelled, toxic, text). Texts stay on the executors: what comes to the driver is a count a class
+    for each of TABLE places, and a bit a feature for each row."""
+    of = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(of) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), _prior(share))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, TABLE), np.int64)
+        for b in batches:
+            count_places(b["text"], b["toxic"], counts)
+        at = np.flatnonzero(counts.any(axis=0))
+        for k in range(0, len(at), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pd.DataFrame({"place": part, "n0": counts[0, part], "n1": counts[1, part]})
+
+    sums = rows.select("text", "toxic").mapInPandas(counted, "place int, n0 long, n1 long").groupBy("place").agg(*[F.sum(c).cast("int").alias(c) for c in ("n0", "n1")]).toArrow()
+    counts, at = np.zeros((2, TABLE)), sums["place"].to_numpy()
+    counts[0, at], counts[1, at] = sums["n0"].to_numpy(), sums["n1"].to_numpy()
+    keep, scaled = standing_out(counts, of[1], of[0])
+    del sums, counts, at
+    shared = rows.sparkSession.sparkContext.broadcast(keep)  # FEATURES places at most
+
+    @F.pandas_udf("binary")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        column = columns_of(shared.value)
+        for texts in batches:
+            out = []
+            for text in texts:
+                has, c = np.zeros(len(shared.value), bool), column[places(text)]
+                has[c[c >= 0]] = True
+                out.append(np.packbits(has).tobytes())
+            yield pd.Series(out, dtype="object")
+
+    found = rows.select(F.xxhash64("labelled").alias("h"), "labelled", "toxic", features("text").alias("has")).collect()
+    found.sort(key=lambda r: (r.h, r.labelled, r.toxic))
+    sparse = [np.flatnonzero(np.unpackbits(np.frombuffer(r.has, np.uint8), count=len(keep))).astype(np.int32) for r in found]
+    return weighed(sparse, np.asarray([r.toxic for r in found], np.float64), keep, scaled, _prior(share))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

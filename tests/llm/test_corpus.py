@@ -250,6 +250,17 @@ def test_toxicity_learns_and_keeps(spark, docs, empty, labels):
     assert toxicity.keep(docs, toxicity.train([], [])).columns == docs.columns
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    rng = random.Random(10)
+    start = "plain words go on and on " * 900
+    rows = [(i, f"{start}{rng.randrange(10**6)}" + (" you grumblewort" if i % 2 else " dear reader"), i % 2) for i in range(300)]
+    d, lab = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    inside = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    got, want = toxicity.fit(d, lab), toxicity.train([r[1] for r in inside], [r[2] for r in inside])
+    assert len(want.at) and got.at.tolist() == want.at.tolist() and np.allclose(got.weight, want.weight)
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.judge(d, lab).where("held_out").collect())
+
+
 def test_hosts(spark):
     urls = ["http://A.Example.COM/en/7x?q", "https://b.com/en/", "ftp://x.net#f", "x://c.net/de/1", "x://example.net/de/8", "no scheme", None, "x://", "://h.org/es/#", "x://co.uk", "a://b.com/en/://c", "x://B.com"] * 3
     pages = spark.createDataFrame([(i, u, "h", "rule") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
