@@ -1,8 +1,11 @@
 """Operator 5: byte-level BPE as a bounded-lookahead streaming transducer, and its incremental decoder.
 
-Encoding. Text arrives in chunks. A splitter cuts it into the pieces that merges never cross; a piece that is still open
-at the end of a chunk waits, and one that grows past a limit is passed on byte by byte. Inside a piece, tokens are
-emitted once stable: as soon as as many bytes follow them as the merge list's sufficient lookahead.
+Encoding. Every text is read character by character, in chunks, by a deterministic transducer. Its state is the text read
+whose tokens are not stable yet: the open piece (merges never cross the splitter's pieces), and what may have begun a
+special token. A transition emits the ids that it makes stable. Transitions are determinised on first use and
+remembered up to a bound; each pass through unknown ground adds one state. Inside a long piece tokens are emitted once
+stable too: as soon as as many bytes follow them as the merge list's sufficient lookahead. So memory does not grow with
+the text.
 
 Sufficient lookahead. Let the piece be known up to q and let more bytes follow. A merge (u, v) split at p can only turn
 out otherwise if, before its rank comes, something crosses the end of v; the first merge to cross there is (u', v'),
@@ -19,8 +22,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,11 +36,12 @@ from meshqa.llm.common import table, tokenizer_path
 
 #: The splitter's pattern, a fixed value of the vocabulary's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that a text is read in at a time; any number gives the same ids.
 CHUNK = 1 << 16
-#: An open piece longer than this many characters is no longer held back whole.
-OPEN = 4096
-#: Pieces that are remembered with their ids.
+#: States that are remembered, and pieces with their ids; then they are found anew.
 REMEMBERED = 400_000
+#: Characters of an open piece that are gathered before they go to its stream.
+GATHERED = 1024
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,14 +62,19 @@ class Merges:
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if bad := [s for s in self.special for t in self.special if s != t and s in t]:
+            raise ValueError(f"special tokens inside others: {bad[:3]}")
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: pair of ids -> rank; rank -> id of the whole
+        self.rank: dict[tuple[int, int], int] = {}
+        self.whole: list[int] = []
         self.parts: dict[int, tuple[int, int]] = {}
         for n, pair in enumerate(spec["model"]["merges"]):
             u, v = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             whole = self.ids[u + v]
-            self.rank[self.ids[u], self.ids[v]] = (n, whole)
+            self.rank[self.ids[u], self.ids[v]] = n
+            self.whole.append(whole)
             self.parts.setdefault(whole, (self.ids[u], self.ids[v]))
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.lookahead = self._lookahead()
@@ -84,37 +95,50 @@ class Merges:
         return most
 
     def merge(self, data: bytes) -> list[int]:
-        """The ids of one whole piece: the lowest rank first, from left to right, by a heap of pairs."""
+        """The ids of one whole piece: the lowest rank first, from left to right."""
         ids = [self.single[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids
-        rank = self.rank
+        return self._merge_few(ids) if len(ids) <= 32 else self._merge_many(ids)
+
+    def _merge_few(self, ids: list[int]) -> list[int]:
+        none, rank = len(self.whole), self.rank.get
+        found = list(map(rank, zip(ids, ids[1:]), repeat(none)))
+        while found and (best := min(found)) != none:
+            at = found.index(best)
+            ids[at : at + 2] = [self.whole[best]]
+            del found[at]
+            if at:
+                found[at - 1] = rank((ids[at - 1], ids[at]), none)
+            if at < len(found):
+                found[at] = rank((ids[at], ids[at + 1]), none)
+        return ids
+
+    def _merge_many(self, ids: list[int]) -> list[int]:
+        n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, r[1], ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, whole, u, v = heapq.heappop(heap)
+            r, i, u, v = heapq.heappop(heap)
             j = after[i] if ids[i] == u else n
             if j >= n or ids[j] != v:
                 continue
-            ids[i], ids[j] = whole, -1
+            ids[i], ids[j] = self.whole[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if r := rank.get((whole, ids[after[i]])):
-                    heapq.heappush(heap, (r[0], i, r[1], whole, ids[after[i]]))
-            if (h := before[i]) >= 0 and (r := rank.get((ids[h], whole))):
-                heapq.heappush(heap, (r[0], h, r[1], ids[h], whole))
+                if (r := rank.get((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[after[i]]))
+            if (h := before[i]) >= 0 and (r := rank.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class PieceStream:
-    """Merges inside one piece whose end is not known yet. Holds at most `window` bytes."""
+    """Merges inside one piece whose end is not known yet. Holds at most `window` bytes besides what it is fed."""
 
     def __init__(self, merges: Merges):
         self.merges, self.held = merges, b""
@@ -124,6 +148,8 @@ class PieceStream:
         out: list[int] = []
         for i in range(0, len(data), self.window):
             self.held += data[i : i + self.window]
+            if len(self.held) < self.window:
+                break
             stable = len(self.held) - self.merges.lookahead
             at = 0
             for t in self.merges.merge(self.held):
@@ -139,7 +165,105 @@ class PieceStream:
         return ids
 
 
-_NEXT = (("letters", regex.compile(r"\p{L}+")), ("numbers", regex.compile(r"\p{N}+")), ("others", regex.compile(r"[^\s\p{L}\p{N}]+")), ("spaces", regex.compile(r"\s+")))
+#: A state is a dict: character -> (next state, ids emitted); None -> the same for the end of the text; PENDING -> the text
+#: whose ids are not emitted yet; KIND -> the class of its last character if it is one piece that more of them lengthen
+#: and any other character but white space's closes.
+PENDING, KIND = 0, 1
+State = dict
+NOTHING = b""
+LETTER, NUMBER, OTHER, SPACE = range(4)
+
+
+class Kinds(dict):
+    """The class of a character in the splitter's pattern; characters that begin special tokens and the end (None) have
+    one of their own."""
+
+    _of = regex.compile(r"(\p{L})|(\p{N})|([^\s\p{L}\p{N}])|(\s)")
+
+    def __missing__(self, c: str) -> int:
+        kind = self[c] = self._of.match(c).lastindex - 1
+        return kind
+
+
+class OpenPiece:
+    """The state inside a piece that is new: it gathers characters of one kind until another comes. When the same piece
+    comes again, the states on the way to it are remembered."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.merges, self.kinds = encoder, encoder.merges, encoder.kinds
+        self.stay = self, NOTHING
+
+    def begin(self, state: State, c: str, kind: int) -> OpenPiece:
+        """Enter it from a state that has no transition for c yet."""
+        self.came, self.text, self.kind, self.tail, self.stream = state, [state[PENDING], c], kind, "", None
+        return self
+
+    def __getitem__(self, c: str | None) -> tuple:
+        if self.kinds[c] == self.kind and not self.tail:
+            self.text.append(c)
+            return self.stay if len(self.text) < GATHERED else self._pass_on()
+        if c is None:
+            # what might have begun a special token has not
+            return self._released(self.tail, "", None) if self.tail else (self.encoder.start, self._closed(self.text))
+        if self.tail or c in self.encoder.begins:
+            t = self.tail + c
+            if t in self.merges.special:
+                return self.encoder.start, self._closed(self.text) + packed([self.merges.special[t]])
+            hold = self.encoder.begun(t)
+            if hold == len(t):
+                self.tail = t
+                return self.stay
+            return self._released(t[: len(t) - hold], t[len(t) - hold :], c)
+        return self._take(c)
+
+    def _pass_on(self) -> tuple:
+        self.stream = self.stream or PieceStream(self.merges)
+        ids = self.stream.feed("".join(self.text[:-1]).encode())
+        self.text = self.text[-1:]
+        return self, packed(ids) if ids else NOTHING
+
+    def _released(self, text: str, hold: str, c: str | None) -> tuple:
+        """Go on with text that is no special token, holding back what may begin another."""
+        self.tail, state, out = "", self, NOTHING
+        for x in text:
+            state, ids = self._take(x) if state is self else self.encoder.step(state, x)
+            out += ids
+        if state is self:
+            self.tail = hold
+        else:
+            for x in hold:
+                state, ids = self.encoder.step(state, x)
+                out += ids
+        if c is None:
+            state, ids = state[None] if state is self else self.encoder.step(state, None)
+            out += ids
+        return state, out
+
+    def _take(self, c: str) -> tuple:
+        if self.encoder.class_of(c) == self.kind:
+            self.text.append(c)
+            return self.stay if len(self.text) < GATHERED else self._pass_on()
+        if self.kind != SPACE:
+            ids = self._closed(self.text)
+            state, more = self.encoder.step(self.encoder.start, c)
+            return state, ids + more
+        # the last white space of a run stands apart: a blank joins what follows
+        run, last = "".join(self.text)[:-1], self.text[-1][-1]
+        ids = self._closed([run])
+        if last != " ":
+            ids += self.encoder.ids_of(last)
+        state, more = self.encoder.step(self.encoder.state_of(" " if last == " " else ""), c)
+        return state, ids + more
+
+    def _closed(self, text: list[str]) -> bytes:
+        piece, encoder = "".join(text), self.encoder
+        if self.stream is None:
+            if piece in encoder.known:
+                encoder.lay(self.came, piece, self.kind)
+            return encoder.ids_of(piece)
+        ids = self.stream.feed(piece.encode()) + self.stream.close()
+        self.stream = None
+        return packed(ids)
 
 
 class Encoder:
@@ -147,125 +271,129 @@ class Encoder:
     the same over one text, as a list."""
 
     def __init__(self, merges: Merges):
-        self.merges = merges
-        self.pieces = regex.compile(PATTERN)
-        self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self.known: dict[str, bytes] = {}
-        self.wait = max([3, *(len(s) for s in merges.special)])
-        self._reset()
-
-    def _reset(self) -> None:
-        self.tail, self.rest, self.long, self.kind = "", "", None, None
-
-    def _mark(self, text: str):
-        """The first special token in a text."""
-        return self.special.search(text) if any(s in text for s in self.merges.special) else None
-
-    def _begun(self, text: str) -> int:
+        self.merges, self.pieces = merges, regex.compile(PATTERN)
+        self.prefixes = {s[:k] for s in merges.special for k in range(1, len(s))}
+        self.begins = {s[0] for s in merges.special}
+        self.longest = max(map(len, self.prefixes), default=0)
+        self.kinds = Kinds({c: -1 for c in (None, *self.begins)})
+        self.open = OpenPiece(self)
+        self._forget()
+        self.state = self.start
+
+    def _forget(self) -> None:
+        self.states, self.size, self.known = {}, 0, {}
+        self.start = self.state_of("")
+
+    def class_of(self, c: str) -> int:
+        return self.kinds[c] if self.kinds[c] >= 0 else Kinds()[c]
+
+    def state_of(self, pending: str) -> State:
+        """The state after what was cut off, of a character or less, or an apostrophe and one more."""
+        state = self.states.get(pending)
+        if state is None:
+            kind = self.class_of(pending) if len(pending) == 1 and pending != "'" else None
+            state = self.states[pending] = self.new_state(pending, kind)
+        return state
+
+    def new_state(self, pending: str, kind: int | None) -> State:
+        self.size += 1
+        return {PENDING: pending, KIND: kind if kind != SPACE else None}
+
+    def lay(self, state: State, piece: str, kind: int) -> None:
+        """Remember the path from a state, inside a piece, to its end."""
+        for c in piece[len(state[PENDING]) :]:
+            if c not in state:
+                state[c] = self.new_state(state[PENDING] + c, kind), NOTHING
+            state = state[c][0]
+
+    def begun(self, text: str) -> int:
         """The length of the longest end of a text with which a special token may begin, less than whole."""
-        return next((k for k in range(min(len(text), self.wait - 1), 0, -1) if any(s.startswith(text[-k:]) and k < len(s) for s in self.merges.special)), 0)
-
-    def _ids(self, pieces: list[str], out: list[bytes]) -> None:
-        known = self.known
-        ids = list(map(known.get, pieces))
-        if None in ids:
-            for n, p in enumerate(pieces):
-                if ids[n] is None:
-                    ids[n] = known.get(p) or self._learn(p)
-        out.append(b"".join(ids))
-
-    def _learn(self, piece: str) -> bytes:
-        ids = packed(self.merges.merge(piece.encode()))
-        if len(piece) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
+        if self.begins.isdisjoint(text[-self.longest :]):
+            return 0
+        return next((k for k in range(min(len(text), self.longest), 0, -1) if text[-k:] in self.prefixes), 0)
+
+    def ids_of(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = packed(self.merges.merge(piece.encode()))
+            if len(piece) <= 32:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = ids
         return ids
 
-    def feed(self, chunk: str, last: bool = False) -> bytes:
-        """Special tokens part the text; what may have begun one waits for the next chunk."""
-        out: list[bytes] = []
-        text, self.tail = self.tail + chunk, ""
-        while mark := self._mark(text):
-            self._plain(text[: mark.start()], True, out)
-            out.append(packed([self.merges.special[mark[0]]]))
-            text = text[mark.end() :]
-        if not last and (begun := self._begun(text)):
-            text, self.tail = text[:-begun], text[-begun:]
-        self._plain(text, last, out)
+    def step(self, state: State, c: str | None) -> tuple:
+        try:
+            return state[c]
+        except KeyError:
+            return self._learn(state, c)
+
+    def _learn(self, state: State, c: str | None) -> tuple:
+        """Determinise a transition: what it emits, and the state that it leads to."""
+        if self.size >= REMEMBERED:
+            self._forget()
+        pending, kind = state[PENDING], state[KIND]
+        if c is None:
+            state[None] = found = (self.start, b"".join(map(self.ids_of, self.pieces.findall(pending))))
+            return found
+        if kind is not None and c not in self.begins:
+            if self.kinds[c] == kind:
+                return self.open.begin(state, c, kind), NOTHING
+            state[c] = found = (self.state_of(c), self.ids_of(pending))
+            return found
+        text = pending + c
+        for s, n in self.merges.special.items():
+            if text.endswith(s):
+                state[c] = found = (self.start, b"".join(map(self.ids_of, self.pieces.findall(text[: -len(s)]))) + packed([n]))
+                return found
+        if self.begun(text):
+            state[c] = found = (self.new_state(text, None), NOTHING)
+            return found
+        cut = self.pieces.findall(text)
+        # an apostrophe and r, v or l may still become a contraction
+        still = 2 if cut[-1] in ("r", "v", "l") and len(cut) > 1 and cut[-2] == "'" else 1
+        rest = "".join(cut[-still:])
+        if len(cut) == still:
+            if len(text) > 2 and text[0] != "'":
+                return self.open.begin(state, c, self.class_of(c)), NOTHING
+            state[c] = found = (self.new_state(text, self.class_of(c) if text[0] != "'" else None), NOTHING)
+            return found
+        # what is cut off may have waited for a special token: then the rest is longer, and seldom worth remembering
+        short = len(rest) == 1
+        found = (self.state_of(rest) if short else self.new_state(rest, self.class_of(c) if still == 1 and rest[0] != "'" else None), b"".join(map(self.ids_of, cut[:-still])))
+        if short:
+            state[c] = found
+        return found
+
+    def feed(self, chunk: str) -> bytes:
+        state, out = self.state, []
+        for c in chunk:
+            try:
+                state, ids = state[c]
+            except KeyError:
+                state, ids = self._learn(state, c)
+            if ids:
+                out.append(ids)
+        self.state = state
         return b"".join(out)
 
-    def _plain(self, text: str, last: bool, out: list[bytes]) -> None:
-        """Text without special tokens; last: it ends here."""
-        text, self.rest = self.rest + text, ""
-        while text:
-            if self.long is not None:
-                text = self._continue(text, last, out)
-                if self.long is not None:
-                    break
-                continue
-            if last:
-                self._ids(self.pieces.findall(text), out)
-                break
-            # the last piece, and what may become a contraction, waits for more text
-            safe, done, cut = max(0, len(text) - 3), [], 0
-            for m in self.pieces.finditer(text):
-                if m.end() >= safe:
-                    break
-                done.append(m[0])
-                cut = m.end()
-            self._ids(done, out)
-            text = text[cut:]
-            if len(text) > OPEN and (m := self.pieces.match(text)) and m.end() > OPEN // 2:
-                self._open(m[0])
-                continue
-            self.rest = text
-            break
-        if last and self.long is not None:
-            out.append(packed(self.long.close()))
-            self.long = None
-
-    def _open(self, piece: str) -> None:
-        """Begin a piece of unknown end; its kind is that of its last character."""
-        self.kind = next(k for k, p in _NEXT if p.match(piece[-1]))
-        self.long = PieceStream(self.merges)
-
-    def _continue(self, text: str, last: bool, out: list[bytes]) -> str:
-        """Pass on what belongs to the open piece; give back the rest, or hold one character until more text comes."""
-        lead = 1 if self.kind != "spaces" and self.long.held == b"" and text[0] == " " else 0
-        run = dict(_NEXT)[self.kind].match(text, lead)
-        end = run.end() if run else lead
-        if end == len(text) and not last:
-            out.append(packed(self.long.feed(text[: end - 1].encode())))
-            self.rest = text[end - 1 :]
-            return ""
-        if self.kind == "spaces" and end < len(text):
-            end -= 1  # the last space joins what follows
-        out.append(packed(self.long.feed(text[:end].encode()) + self.long.close()))
-        self.long = None
-        return text[end:]
-
     def close(self) -> bytes:
-        out = self.feed("", last=True)
-        self._reset()
-        return out
-
-    def stream_text(self, text: str) -> Iterator[bytes]:
-        if len(text) <= CHUNK:
-            self._reset()
-            yield self.feed(text, last=True)
-        else:
-            yield from self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(self.stream_text(text)), "<u4").tolist()
+        _, ids = self.step(self.state, None)
+        self.state = self.start
+        return ids
 
     def stream(self, chunks: Iterable[str]) -> Iterator[bytes]:
-        self._reset()
+        self.state = self.start
         for c in chunks:
             yield self.feed(c)
         yield self.close()
 
+    def stream_text(self, text: str) -> Iterator[bytes]:
+        yield from self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join(self.stream_text(text)), "<u4").tolist()
+
 
 class Decoder:
     """ids -> text, as soon as bytes form whole characters; bytes that never do become U+FFFD."""
@@ -286,8 +414,9 @@ class Decoder:
 def encode_table(docs: DataFrame, path: str) -> DataFrame:
     """A row for each row of docs (doc_id, text; others are not read): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null text counts as empty (no tokens, the hashes of nothing). Ids may be null or repeated. Texts of any length are
-    encoded in chunks, with no more state than an open piece's window. An empty table gives an empty result.
+    Null text counts as empty (no tokens, the hashes of nothing). Ids may be null or repeated: rows are encoded each by
+    itself, so there are no ties. Texts of any length are encoded in chunks, with no more state than an open piece's
+    window. An empty table gives an empty result.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ the part before it), doc_ids, lengths and codes, the bytes of `encode`.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.bpe import PATTERN, encoder, packed
+from meshqa.llm.bpe import packed
 from meshqa.llm.common import new_path, table, tokenizer_path
 
 MAGIC = b"DAC1"
@@ -31,8 +32,10 @@ RANK_BITS = 512
 END_ID = 2
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 18
-#: Longer texts are encoded as a stream.
-LONG = 200_000
+#: What the splitter of the vocabulary's format never joins: a run without white space and a blank before it, white space
+#: up to the last of it, and that. Python's \s also has four separators (1C to 1F) that are none there.
+UNITS = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+LONGEST, REMEMBERED = 64, 400_000
 SCHEMA = "part int, seq int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
 
@@ -98,34 +101,49 @@ class Codes:
         return out
 
 
+class Units(dict):
+    """unit -> its ids, by the splitter and the model of the tokenizers library."""
+
+    def __init__(self, library):
+        super().__init__()
+        if library.normalizer is not None:
+            raise ValueError("a normalizer may change units across their ends")
+        self.split, self.model = library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = packed([t.id for piece, _ in self.split(unit) for t in self.model(piece)])
+        if len(unit) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Ids:
-    """Ids of whole texts. The compiled core of tiktoken merges the same vocabulary several times faster than the streaming
-    transducer, which takes texts of more than LONG characters in bounded memory; special strings are cut out first."""
+    """Ids of whole texts by the tokenizers library. A text is handed to it in units that its splitter never joins: runs
+    without white space, with a blank before them, and the white space between. What it gives for a unit of up to LONGEST
+    characters is remembered, REMEMBERED of them at a time. Special strings are cut out first, as the library does."""
 
     def __init__(self, path: str):
-        import tiktoken
-
-        self.stream = encoder(path)
-        merges = self.stream.merges
-        by_rank = [whole for _, whole in merges.rank.values()]
-        if by_rank != sorted(by_rank) or max(merges.single) > min(by_rank):
-            raise ValueError("ids are not in the order of merges")
-        self.core = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=merges.ids, special_tokens={})
-        self.special = {s: packed([i]) for s, i in merges.special.items()}
-
-    def of(self, text: str) -> list[bytes]:
-        if len(text) > LONG:
-            return list(self.stream.stream_text(text))
-        if not any(s in text for s in self.special):
-            return [self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()]
-        return self._cut(text)
-
-    def _cut(self, text: str) -> list[bytes]:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        self.ids = {s: packed([i]) for s, i in special.items()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.known = Units(library)
+
+    def of(self, text: str) -> bytes:
+        if not any(s in text for s in self.ids):
+            return self._plain(text)
         out, at = [], 0
-        for m in self.stream.special.finditer(text):
-            out += [*self.of(text[at : m.start()]), self.special[m[0]]]
+        for m in self.special.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.ids[m[0]]]
             at = m.end()
-        return [*out, *self.of(text[at:])]
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, UNITS.findall(text)))
 
 
 @lru_cache(maxsize=4)
@@ -136,12 +154,14 @@ def _ids(path: str) -> Ids:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode every text of docs (doc_id, text) and write token files to path, in ascending doc_id order.
 
-    Null text is an empty document (the end id alone); null ids come last; rows of equal ids stand side by side, ordered
-    by a hash of their texts. An empty table gives files without segments.
+    Null text is an empty document (the end id alone); texts of any length are encoded whole, and a segment holds whole
+    documents, so a very long one has a segment to itself or ends one. Null ids come last; rows of equal ids stand side
+    by side, ordered by a hash of their texts. Columns of other names are not read. An empty table gives files without
+    segments.
     """
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part = _ids(tokenizer), TaskContext.get().partitionId()
+        enc, end, part = _ids(tokenizer), packed([end_id]), TaskContext.get().partitionId()
         ids, doc_ids, lengths, held, seq, start = [], [], [], 0, 0, 0
 
         def closed() -> pd.DataFrame:
@@ -151,11 +171,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
         for batch in batches:
             known = batch["known"].to_numpy()
             for doc, here, text in zip(batch["doc_id"].to_numpy(), known, batch["text"]):
-                n = 1
-                for some in enc.of(text or ""):
-                    ids.append(some)
-                    n += len(some) // 4
-                ids.append(packed([end_id]))
+                raw = enc.of(text or "") + end
+                n = len(raw) // 4
+                ids.append(raw)
                 doc_ids.append(int(doc) if here else None)
                 lengths.append(n)
                 held += n
@@ -177,12 +195,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> N
     )
 
 
+def starts(files: DataFrame) -> dict[int, int]:
+    """The tokens before each file, by its part. A sum for each file comes to the driver."""
+    before, out = 0, {}
+    for part, n in sorted(map(tuple, files.groupBy("part").agg(F.sum("n_tokens")).collect())):
+        out[part], before = before, before + n
+    return out
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row a document from token files: doc_id, start, n_tokens, ids_crc32. A sum for each file comes to the driver."""
+    """A row a document from token files: doc_id, start, n_tokens, ids_crc32."""
     files = spark.read.schema(SCHEMA).parquet(path)
-    before, starts = 0, {}
-    for part, n in sorted(map(tuple, files.groupBy("part").agg(F.sum("n_tokens")).collect())):
-        starts[part], before = before, before + n
+    before = starts(files)
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,17 +216,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 known = pd.array([None if d is None or d != d else int(d) for d in r.doc_ids], "Int64")
-                yield pd.DataFrame({"doc_id": known, "start": starts[r.part] + r.start + ends - lengths, "n_tokens": lengths, "ids_crc32": sums})
+                yield pd.DataFrame({"doc_id": known, "start": before[r.part] + r.start + ends - lengths, "n_tokens": lengths, "ids_crc32": sums})
 
     return files.mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token(spark: SparkSession, path: str, part: int, i: int) -> int:
-    """Token i of a part: one segment is found by its start, one code read in place."""
-    row = spark.read.schema(SCHEMA).parquet(path).where((F.col("part") == part) & (F.col("start") <= i) & (F.col("start") + F.col("n_tokens") > i)).select("start", "codes").first()
-    if row is None:
+def token(spark: SparkSession, path: str, i: int) -> int:
+    """Token i of all: its file is found by the starts, the segment by its own start, and one code is read in place."""
+    files = spark.read.schema(SCHEMA).parquet(path)
+    part, before = max(((p, n) for p, n in starts(files).items() if n <= i), key=lambda x: (x[1], x[0]), default=(-1, 0))
+    here = files.where((F.col("part") == part) & (F.col("start") <= i - before) & (F.col("start") + F.col("n_tokens") > i - before)).select("start", "codes").first()
+    if here is None:
         raise IndexError(i)
-    return Codes(bytes(row.codes))[i - row.start]
+    return Codes(bytes(here.codes))[i - before - here.start]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

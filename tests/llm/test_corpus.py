@@ -109,10 +109,11 @@ def test_token_files(spark, docs, empty, tmp_path):
         at += r.n_tokens
     in_order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert in_order == sorted(in_order, key=lambda d: (d is None, d or 0))
-    first = sorted(corpus(), key=lambda r: (r[0] is None, r[0] or 0))[6]
-    r = next(r for r in got if r.doc_id == first[0])
-    part0 = spark.read.parquet(path).agg(F.min("part")).first()[0]
-    assert [tokenfile.token(spark, path, part0, r.start + k) for k in (0, r.n_tokens - 1)] == [ids[first[1]][0], 2]
+    texts = {doc: t for doc, t, *_ in corpus()}
+    for r in [r for r in got if r.doc_id is not None][::20]:
+        assert [tokenfile.token(spark, path, r.start + k) for k in (0, r.n_tokens - 1)] == [ids[texts[r.doc_id]][0], 2]
+    with pytest.raises(IndexError):
+        tokenfile.token(spark, path, at)
     tokenfile.write(empty, f"{path}-none", name)
     assert tokenfile.read(spark, f"{path}-none").count() == 0
 
@@ -131,13 +132,23 @@ def _tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@pytest.mark.parametrize("chunk, opened", [(7, 40), (500, 40), (5000, 4096), (1 << 16, 4096)])
-def test_bpe_streams_as_the_library(monkeypatch, chunk, opened):
+def test_token_files_of_long_texts(spark, tmp_path):
+    path, name, library = f"file://{tmp_path}/ids", public_tokenizers.path("byte_bpe_50k.json"), _tokenizer()
+    texts = ["w" * 250_000, "ab cd\n\n  e " * 30_000, "\x1c\x85\xa0 x" * 9, " <|endoftext|>  <|endoftext|>\n", "é" * 70 + " " + "!" * 70]
+    tokenfile.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, name)
+    assert spark.read.parquet(path).count() > 1
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert {r.doc_id: r.ids_crc32 for r in tokenfile.read(spark, path).collect()} == {i: crc(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("chunk, gathered", [(1, 3), (7, 40), (500, 40), (5000, 4096), (1 << 16, 1024)])
+def test_bpe_streams_as_the_library(monkeypatch, chunk, gathered):
     monkeypatch.setattr(bpe, "CHUNK", chunk)
-    monkeypatch.setattr(bpe, "OPEN", opened)
-    encoder, library = bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")), _tokenizer()
+    monkeypatch.setattr(bpe, "GATHERED", gathered)
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    encoder, library = bpe.Encoder(bpe.encoder(public_tokenizers.path("byte_bpe_50k.json")).merges), _tokenizer()
     decoder, rng = bpe.Decoder(encoder.merges), random.Random(chunk)
-    alphabet = ["a", "the", " ", "  ", "\n", "\t", "'s", "'ll", "é", "1", "!", "<|endoftext|>", "<|endof", "漢", "👍", "x" * 900, " " * 700, "=" * 300, "\r\n", "²", "_"]
+    alphabet = ["a", "the", " ", "  ", "\n", "\t", "'s", "'ll", "'", "'r", "é", "1", "!", "<|endoftext|>", "<|endof", "<", "<|", "漢", "👍", "x" * 900, " " * 700, "=" * 300, "\r\n", "²", "_", "\x1c", "\x85", "ǅ"]
     for _ in range(300):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30)))
         ids = library.encode(text, add_special_tokens=False).ids
@@ -165,14 +176,15 @@ def test_bpe_table(docs, empty):
     assert bpe.encode_table(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [5, 60, 1 << 16])
+@pytest.mark.parametrize("chunk", [1, 5, 60, 1 << 16])
 def test_counts_compose(monkeypatch, chunk):
     import sentencepiece
 
     monkeypatch.setattr(counts, "CHUNK", chunk)
+    monkeypatch.setattr(counts, "REMEMBERED", 200)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    library, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), counts.transducer(path), random.Random(chunk)
-    alphabet = ["a", "in", "ing", "the", " ", "  ", "\n", "é", "23", "!", "<s>", "<0x0A>", "▁", "漢", "👍", "A" * 30, " The"]
+    library, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), counts.Transducer(path), random.Random(chunk)
+    alphabet = ["a", "in", "ing", "the", " ", "  ", "\n", "é", "23", "!", "<s>", "<0x0A>", "▁", "漢", "👍", "A" * 30, " The", " " * 50, "w" * 100, "\x00"]
     for _ in range(500):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40)))
         assert machine.count(text) == len(library.encode(text))
