@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshqa.llm.bpe import packed
+from meshqa.llm.bpe import byte_letters, packed
 from meshqa.llm.common import new_path, table, tokenizer_path
 
 MAGIC = b"DAC1"
@@ -109,9 +109,15 @@ class Units(dict):
         if library.normalizer is not None:
             raise ValueError("a normalizer may change units across their ends")
         self.split, self.model = library.pre_tokenizer.pre_tokenize_str, library.model.tokenize
+        self.shown = {b: c for c, b in byte_letters().items()}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = packed([t.id for piece, _ in self.split(unit) for t in self.model(piece)])
+        if unit[unit[0] == " " :].isalpha():
+            # letters alone are one piece; it is only written in the vocabulary's letters for bytes
+            tokens = self.model(unit.encode().decode("latin-1").translate(self.shown))
+        else:
+            tokens = [t for piece, _ in self.split(unit) for t in self.model(piece)]
+        ids = packed([t.id for t in tokens])
         if len(unit) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
