@@ -106,6 +106,15 @@ def crosses(a: str, b: str) -> str:
     return f"({side(a, b, 1)}*{side(a, b, 2)}<0 AND {side(b, a, 1)}*{side(b, a, 2)}<0)"
 
 
+def meets_inside(a: str, b: str) -> str:
+    """SQL: the lines of the segments a and b (x1, y1, x2, y2, first, last) meet in these, in a point that is an end of
+    neither line. Segments that run along each other don't."""
+    side = lambda s, p, k: f"(({s}.x2-{s}.x1)*({p}.y{k}-{s}.y1)-({s}.y2-{s}.y1)*({p}.x{k}-{s}.x1))"
+    b1, b2, a1, a2 = side(a, b, 1), side(a, b, 2), side(b, a, 1), side(b, a, 2)
+    ends = f"NOT ({a}.first AND {a1}=0) AND NOT ({a}.last AND {a2}=0) AND NOT ({b}.first AND {b1}=0) AND NOT ({b}.last AND {b2}=0)"
+    return f"({b1}*{b2}<=0 AND {a1}*{a2}<=0 AND {b1}<>{b2} AND {ends})"
+
+
 def segment_distance(a: str, b: str) -> str:
     """SQL for the distance of the segments a and b."""
     ends = [point_segment(f"{p}.x{k}", f"{p}.y{k}", f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2") for p, s in ((a, b), (b, a)) for k in (1, 2)]
@@ -125,7 +134,7 @@ def clipped(x1, y1, x2, y2, xmin, ymin, xmax, ymax) -> tuple[str, str]:
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres on a sphere of 6371009 m, to the millimetre."""
+    """Metres on a sphere of 6371009 m (a fixed value), to the millimetre."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.round(2 * 6371009 * F.asin(F.sqrt(F.least(F.lit(1.0), a))), 3)
 

@@ -6,55 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshqa.functions import geometry as G
-from meshqa.operators.spatial import near_pairs
+from meshqa.operators.spatial import near_pairs, segments_of
 
 CELL = 100.0
 
 
-def segments(edges: DataFrame, size: float) -> DataFrame:
-    """id, part, x1, y1, x2, y2: straight edges cut to pieces of `size`, a last one below a third of it merged."""
-    cut = edges.select("*", F.posexplode(G.pieces(F.col("length"), size)).alias("part", "_p"))
-    at = lambda k, e: (F.col(f"{k}1") + F.col(f"_p.{e}") / F.col("length") * (F.col(f"{k}2") - F.col(f"{k}1")))
-    ends = {"_x1": at("x", "start"), "_y1": at("y", "start"), "_x2": at("x", "end"), "_y2": at("y", "end")}
-    return cut.where("length > 0").withColumns(ends).select(
-        *[c for c in edges.columns if c not in ("x1", "y1", "x2", "y2", "length")], F.col("part").cast("long").alias("part"), F.col("_x1").alias("x1"), F.col("_y1").alias("y1"), F.col("_x2").alias("x2"), F.col("_y2").alias("y2"), (F.col("_p.end") - F.col("_p.start")).alias("length")
-    )
-
-
-def line_segments(lines: DataFrame, size: float, line: str = "line") -> DataFrame:
-    """The same for lines with any number of vertices: part and the piece's own line."""
-    cut = lines.select("*", F.posexplode(G.pieces(G.length(F.col(line)), size)).alias("part", "_p"))
-    return cut.withColumn(line, G.substring(F.col(line), F.col("_p.start"), F.col("_p.end"))).drop("_p")
+def segments(lines: DataFrame, size: float, line: str = "line") -> DataFrame:
+    """Lines cut to pieces of `size` along them, a last one below a third of it merged: part, length and the piece's line.
+    Lines without length have none."""
+    cut = lines.drop("length").withColumn("_p", F.explode(F.transform(G.pieces(G.length(F.col(line)), size), lambda p, i: F.struct(i.alias("part"), p["start"].alias("start"), p["end"].alias("end")))))
+    return cut.where("_p.end > 0").withColumns({line: G.substring(F.col(line), F.col("_p.start"), F.col("_p.end")), "part": F.col("_p.part").cast("long"), "length": F.col("_p.end") - F.col("_p.start")}).drop("_p")
 
 
 def numbered(pieces: DataFrame) -> DataFrame:
-    """seg: a piece's own number, from its edge's id and its part, the same in every run and without a global sort."""
-    return pieces.withColumn("seg", F.col("id") * 10_000 + F.col("part"))
-
-
-#: SQL over l and r of straight pieces.
-ANGLE = "abs(degrees(atan2((l.x2-l.x1)*(r.y2-r.y1)-(l.y2-l.y1)*(r.x2-r.x1), (l.x2-l.x1)*(r.x2-r.x1)+(l.y2-l.y1)*(r.y2-r.y1))))"
-FOLDED = f"(CASE WHEN {ANGLE} > 90 THEN 180 - {ANGLE} ELSE {ANGLE} END)"
+    """seg: a piece's name, its edge's id and its part, the same in every run and without a global sort."""
+    return pieces.withColumn("seg", F.concat_ws("_", "id", "part"))
 
 
-def _d(a: str, i: int, b: str, j: int) -> str:
-    return f"sqrt(({a}.x{i}-{b}.x{j})*({a}.x{i}-{b}.x{j})+({a}.y{i}-{b}.y{j})*({a}.y{i}-{b}.y{j}))"
-
-
-HAUSDORFF = "greatest(" + ", ".join(f"least({_d(a, i, b, 1)}, {_d(a, i, b, 2)})" for a, b in (("l", "r"), ("r", "l")) for i in (1, 2)) + ")"
+def candidates(reference: DataFrame, other: DataFrame, buffer: float) -> DataFrame:
+    """ref, match, a, b: pieces (seg, line) of the reference with the other data set's pieces within `buffer` of them, and
+    their lines."""
+    # a piece's line goes with each of its few segments, so that no join by name is needed afterwards
+    of = lambda df: segments_of(df, "seg", "line")
+    near = near_pairs(of(reference), of(other), buffer, CELL, f"{G.segment_distance('l', 'r')} <= {float(buffer)!r}")
+    return near.select(F.col("l.seg").alias("ref"), F.col("r.seg").alias("match"), F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
 
 
-def candidates(reference: DataFrame, other: DataFrame, buffer: float) -> DataFrame:
-    """l and r: pieces of the reference with the other data set's pieces within `buffer` of them."""
-    return near_pairs(reference, other, buffer, CELL, f"{G.segment_distance('l', 'r')} <= {float(buffer)!r}")
+def overlay_buffer(pairs: DataFrame) -> DataFrame:
+    """ref, matches (names in order) and count: what lies in the buffer of each reference piece that has any."""
+    return pairs.groupBy("ref").agg(F.array_sort(F.collect_list("match")).alias("matches"), F.count("*").alias("count"))
 
 
 def best_matches(pairs: DataFrame, angle: float, hausdorff: float) -> DataFrame:
     """ref, match, hausdorff: for each reference piece the candidate with the least Hausdorff distance, among those within
-    both limits; of equals the least number. The angle is tested first, as it is cheaper."""
-    near = pairs.where(f"{FOLDED} <= {float(angle)!r}").withColumn("h", F.expr(HAUSDORFF)).where(F.col("h") <= hausdorff)
-    best = near.groupBy(F.col("l.seg").alias("ref")).agg(F.min(F.struct(F.round("h", 6).alias("h"), F.col("r.seg").alias("seg"))).alias("b"))
-    return best.select("ref", F.col("b.seg").alias("match"), F.col("b.h").alias("hausdorff"))
+    both limits; of equals the least name. The angle is tested first, as it is cheaper."""
+    near = pairs.where(G.direction_angle(F.col("a"), F.col("b")) <= angle).withColumn("h", F.round(G.hausdorff(F.col("a"), F.col("b")), 6)).where(F.col("h") <= hausdorff)
+    best = near.groupBy("ref").agg(F.min(F.struct("h", "match")).alias("m"))
+    return best.select("ref", F.col("m.match").alias("match"), F.col("m.h").alias("hausdorff"))
 
 
 def split(pieces: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ def hull_points(nodes: DataFrame) -> DataFrame:
 
     schema = "x double, y double, nth long"
     own = nodes.select("x", "y").mapInPandas(corners, schema)
-    return own.select("x", "y").coalesce(1).mapInPandas(corners, schema)
+    return own.select("x", "y").repartition(1).mapInPandas(corners, schema)
 
 
 def graph_area(nodes: DataFrame, window: list[tuple[float, float]] | None = None) -> DataFrame:
@@ -35,7 +35,8 @@ def graph_area(nodes: DataFrame, window: list[tuple[float, float]] | None = None
         pairs = list(zip(ring, [*ring[1:], *ring[:1]]))
         yield pd.DataFrame({"area": [abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in pairs)) / 2]})
 
-    return hull_points(nodes).coalesce(1).mapInPandas(area, "area double")
+    # the corners are in one partition already
+    return hull_points(nodes).mapInPandas(area, "area double")
 
 
 def merged_lines(df: DataFrame, key: str, line: str = "line") -> DataFrame:
@@ -43,11 +44,11 @@ def merged_lines(df: DataFrame, key: str, line: str = "line") -> DataFrame:
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, [{"x": x, "y": y} for x, y in line]) for k, parts in zip(b[key], b["parts"]) for line in G.merged([[(p["x"], p["y"]) for p in part] for part in parts])]
+            rows = [(k, [{"x": x, "y": y} for x, y in line]) for k, parts in zip(b[key], b["parts"]) for line in G.merged([[(p["x"], p["y"]) for p in part["line"]] for part in parts])]
             yield pd.DataFrame(rows, columns=[key, "line"])
 
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).agg(F.collect_list(line).alias("parts")).mapInPandas(join, f"{key} {kind}, line {G.LINE}")
+    return df.groupBy(key).agg(F.collect_list(F.struct(F.col(line).alias("line"))).alias("parts")).mapInPandas(join, f"{key} {kind}, line {G.LINE}")
 
 
 def rectangle_cells(spark, xmin: float, ymin: float, xmax: float, ymax: float, size: float, hole: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -91,7 +91,9 @@ def incompatible_edges(df: DataFrame, pairs: list[tuple[str, str, str, str]], ke
 def shares(df: DataFrame, column: str) -> DataFrame:
     """value, count, percent of all rows, two decimals."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
-    return counts.withColumn("percent", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1))), 2))
+    # one row
+    total = df.agg(F.count("*").alias("_all"))
+    return counts.join(F.broadcast(total)).withColumn("percent", F.round(100 * F.col("count") / F.col("_all"), 2)).drop("_all")
 
 
 def multiedges(df: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Joins by distance. Segments are bucketed to the cells of a grid, so that the join has an equality that deals rows out;
-a pair is looked at only in the cell of the lower left corner that the two boxes share, so no pair comes twice."""
+"""Joins by distance. Lines are cut to their elementary segments and these are bucketed to the cells of a grid, so that
+the join has an equality that deals rows out; a pair is looked at only in the cell of the lower left corner that the two
+boxes share, so no pair of segments comes twice."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshqa.functions.geometry import clipped
+from meshqa.functions import geometry as G
 
-SEGMENT = ("x1", "y1", "x2", "y2")
+
+def segments_of(df: DataFrame, *keep: str, line: str = "line") -> DataFrame:
+    """keep, x1, y1, x2, y2, and whether a segment is its line's first or last: a row an elementary segment."""
+    step = df.select(*keep, F.size(line).alias("_n"), F.posexplode(G.steps(F.col(line))).alias("_k", "_s"))
+    return step.select(*keep, (F.col("_k") == 0).alias("first"), (F.col("_k") == F.col("_n") - 2).alias("last"), *[F.col(f"_s.{p}.{c}").alias(f"{c}{i}") for i, p in ((1, "a"), (2, "b")) for c in "xy"])
 
 
 def _boxed(df: DataFrame, grow: float, cell: float, prefix: str) -> DataFrame:
@@ -19,7 +24,7 @@ def _boxed(df: DataFrame, grow: float, cell: float, prefix: str) -> DataFrame:
     return df.select(row, F.expr(lo("x")).alias(f"{prefix}_x"), F.expr(lo("y")).alias(f"{prefix}_y"), F.explode(span("x")).alias("cx"), span("y").alias("_ys")).select("*", F.explode("_ys").alias("cy")).drop("_ys")
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, cell: float, condition: str, how: str = "inner") -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, cell: float, condition: str) -> DataFrame:
     """Structs l and r of rows whose boxes lie within radius of each other and for which `condition` (SQL over l and r)
     holds. Rows have x1, y1, x2, y2; a point has both ends alike. Cost follows the number of rows in shared cells."""
     a, b = _boxed(left, 0.0, cell, "l"), _boxed(right, float(radius), cell, "r")
@@ -27,20 +32,38 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, cell: float, co
     return a.join(b, ["cx", "cy"]).where(f"{own} and {condition}").select("l", "r")
 
 
-def overlay(df: DataFrame, cell: float) -> DataFrame:
-    """Rows by the cells that they cross, with cx, cy and part, the length inside. Cells are half open, so that lines on a
-    border belong to one of two cells and lengths add up."""
-    span = lambda k: F.expr(f"sequence(cast(floor(least({k}1, {k}2) / {cell!r}) as int), cast(floor(greatest({k}1, {k}2) / {cell!r}) as int))")
+def points_near_lines(points: DataFrame, lines: DataFrame, limit: float, cell: float, how: str = "inner", line: str = "line") -> DataFrame:
+    """n, id, distance: points (n, x, y) with the lines (id, line) within `limit`. With how=left a point without any has
+    one row, with nulls."""
+    at = points.select("n", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    d = G.point_segment("l.x1", "l.y1", "r.x1", "r.y1", "r.x2", "r.y2")
+    found = near_pairs(at, segments_of(lines, "id", line=line), limit, cell, f"{d} <= {float(limit)!r}").groupBy("l.n", "r.id").agg(F.min(F.expr(d)).alias("distance"))
+    return points.select("n").join(found, "n", how) if how != "inner" else found
+
+
+def overlay(df: DataFrame, cell: float, key: str = "id", line: str = "line") -> DataFrame:
+    """Rows (key is unique) by the cells that their lines cross, with cx, cy and part, the length inside. Cells are half
+    open, so that lines on a border belong to one of two cells and lengths add up. A segment is followed column by column,
+    so its cells are those that it meets and not all of its box."""
     c = repr(float(cell))
-    enter, leave = clipped("x1", "y1", "x2", "y2", f"cx*{c}", f"cy*{c}", f"(cx+1)*{c}", f"(cy+1)*{c}")
-    cells = df.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    return cells.withColumn("_in", F.expr(enter)).withColumn("_out", F.expr(leave)).where("_out > _in").withColumn("part", F.expr("(_out - _in) * length")).drop("_in", "_out")
+    cut = segments_of(df, key, line=line).withColumn("cx", F.explode(F.expr(f"sequence(cast(floor(least(x1, x2) / {c}) as int), cast(floor(greatest(x1, x2) / {c}) as int))")))
+    # where the segment is at the column's two sides
+    at = lambda x: f"if(x1 = x2, {{}}, y1 + greatest(0.0D, least(1.0D, ({x} - x1) / (x2 - x1))) * (y2 - y1))"
+    low, high = at(f"cx*{c}").format("y1"), at(f"(cx+1)*{c}").format("y2")
+    # a cell more on each side, as the two are rounded
+    cells = cut.withColumn("cy", F.explode(F.expr(f"sequence(cast(floor(least({low}, {high}) / {c} - 1e-9) as int), cast(floor(greatest({low}, {high}) / {c} + 1e-9) as int))")))
+    enter, leave = G.clipped("x1", "y1", "x2", "y2", f"cx*{c}", f"cy*{c}", f"(cx+1)*{c}", f"(cy+1)*{c}")
+    long = "sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))"
+    inside = cells.withColumn("part", F.expr(f"(({leave}) - ({enter})) * {long}")).where("part > 1e-9")
+    return df.join(inside.groupBy(key, "cx", "cy").agg(F.sum("part").alias("part")), key)
 
 
-def overlay_sql(source: str, cell: float) -> str:
-    """The same for the oracle."""
+def overlay_sql(source: str, cell: float, segments: str = "seg", key: str = "id") -> str:
+    """The same for the oracle, in its own way: a segment is cut wherever it meets a grid line, and each piece belongs to
+    the cell of its middle."""
     c = repr(float(cell))
-    enter, leave = clipped("x1", "y1", "x2", "y2", f"cx*{c}", f"cy*{c}", f"(cx+1)*{c}", f"(cy+1)*{c}")
-    return f"""(SELECT *, (l - e) * length AS part FROM (SELECT *, {enter} AS e, {leave} AS l FROM (
-      SELECT s.*, cx::INT AS cx, cy::INT AS cy FROM {source} s, range(floor(least(x1, x2) / {c})::INT, floor(greatest(x1, x2) / {c})::INT + 1) a(cx),
-        range(floor(least(y1, y2) / {c})::INT, floor(greatest(y1, y2) / {c})::INT + 1) b(cy)) q) q WHERE l > e)"""
+    grid = lambda k: f"CASE WHEN {k}1 = {k}2 THEN [] ELSE list_transform(range(floor(least({k}1, {k}2) / {c})::INT, floor(greatest({k}1, {k}2) / {c})::INT + 2), lambda q: (q * {c} - {k}1) / ({k}2 - {k}1)) END"
+    return f"""(SELECT s.*, q.cx, q.cy, q.part FROM {source} s JOIN (SELECT {key}, cx, cy, sum(part) AS part FROM (
+      SELECT {key}, floor((x1 + (t + f) / 2 * (x2 - x1)) / {c})::INT AS cx, floor((y1 + (t + f) / 2 * (y2 - y1)) / {c})::INT AS cy, (t - f) * len AS part FROM (
+        SELECT *, unnest(ts[:-2]) AS f, unnest(ts[2:]) AS t FROM (SELECT *, list_sort(list_distinct(list_filter([0.0::DOUBLE, 1.0::DOUBLE] || {grid('x')} || {grid('y')}, lambda q: q >= 0 AND q <= 1))) AS ts FROM {segments}) q) q) q
+      WHERE part > 1e-9 GROUP BY ALL) q USING ({key}))"""
