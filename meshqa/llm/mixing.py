@@ -1,5 +1,9 @@
 """Operator 4: mixing sources to target weights. Words are summed for each source, weights become targets and repetition
-rates, and a document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability."""
+rates, and a document is emitted floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as probability.
+
+Of SEEDS seeds a source takes the one whose copies come nearest its target. So the draws of a source are Bernoulli for
+each seed, and conditioned on their sum by the choice: a document's probability is the fraction only nearly, and more
+nearly the more documents a source has."""
 
 from __future__ import annotations
 
@@ -70,8 +74,9 @@ def copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it; columns as given.
 
-    Null text has size 0, a null source is a source of its own, repeated ids share their coin, an empty table stays
-    empty. Other columns, whatever their names, are carried in a struct and come back unchanged.
+    Null text has size 0, texts of any length are counted whole, a null source is a source of its own. Repeated ids share
+    their coin, and all rows of a source without ids one coin too. Of seeds equally near a target the first is taken. An
+    empty table stays empty. Other columns, whatever their names, are carried in a struct and come back unchanged.
     """
     held = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), whole_row(docs).alias("_row"))
     made = plan(written(held.select("doc_id", "source", "size"), "mix-sizes"))

@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such vectors
 never exceeds the Hamming distance, so a range join of the vectors finds every link. The vector space is cut into
-BLOCKS grids of neighbouring segments: vectors within distance LIMIT differ in at most LIMIT of them, so they share the
-cell of some BLOCKS - LIMIT grids, and meet where fingerprints are dealt out by the cells of every such choice. There
-the Manhattan distance is checked first, then the Hamming distance exactly. Only distinct fingerprints take part.
+grids of neighbouring segments: vectors within distance LIMIT differ in at most LIMIT of them, so they share the cell of
+all but LIMIT grids, and meet where fingerprints are dealt out by the cells of every such choice. The more fingerprints
+there are, the more grids, so that cells stay small: the links are the same. There the Manhattan distance is checked
+first, then the Hamming distance exactly. Only distinct fingerprints take part.
 
 A cell with more than CELL fingerprints is cut into parts that are compared pair by pair, each in a task's own bounds;
 and of the links within a crowded cell a spanning forest is given, which keeps every component whole.
@@ -22,10 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshqa.llm.common import table, whole_row, written
-from meshqa.operators.components import components
+from meshqa.operators.components import components, looked_up
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
-BLOCKS = 7
+#: Grids: so many at least, and at most.
+BLOCKS, MOST_BLOCKS = 7, 12
 CELL = 512
 #: Runs up to this long give all their links, longer ones a spanning forest.
 ALL_LINKS = 32
@@ -57,11 +59,16 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select("doc_id", *more, marks(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
-def _masks() -> list[int]:
-    """A bit mask for every choice of BLOCKS - LIMIT grids."""
-    edges = [round(k * 32 / BLOCKS) * 2 for k in range(BLOCKS + 1)]
+def blocks_for(n: int) -> int:
+    """The fewest grids by which n fingerprints fall into cells of a dozen or so: a segment tells about 1.5 bits."""
+    return next((k for k in range(BLOCKS, MOST_BLOCKS) if 8 * 2 ** (1.5 * 32 * (k - LIMIT) / k) >= n), MOST_BLOCKS)
+
+
+def _masks(blocks: int = BLOCKS) -> list[int]:
+    """A bit mask for every choice of all grids but LIMIT."""
+    edges = [round(k * 32 / blocks) * 2 for k in range(blocks + 1)]
     block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    return [sum(block[k] for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - LIMIT)]
+    return [sum(block[k] for k in chosen) for chosen in combinations(range(blocks), blocks - LIMIT)]
 
 
 def embedded(fp: Column) -> Column:
@@ -137,7 +144,8 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: pairs of distinct fingerprints (fp) within LIMIT bits, or in crowded cells a forest that joins the same."""
-    cells = [F.xxhash64(F.lit(t), embedded(F.col("fp")).bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long"))) for t, m in enumerate(_masks())]
+    masks = _masks(blocks_for(distinct.count()))
+    cells = [F.xxhash64(F.lit(t), embedded(F.col("fp")).bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long"))) for t, m in enumerate(masks)]
     dealt = distinct.select("fp", F.explode(F.array(*cells)).alias("key"))
     crowded = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select(F.col("key").alias("_key"), F.ceil(F.col("n") / CELL).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("_parts")).cast("int")
@@ -147,24 +155,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _rooted(marked: DataFrame, least: Column) -> DataFrame:
-    """fp, `least` over its rows, and root, a fingerprint that names its component."""
-    distinct = written(marked.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    """fp, n, `least` over its rows, and root, a fingerprint that names its component; null for one without links."""
+    distinct = written(marked.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")), "simhash-distinct")
     found = components(links(distinct))
-    return distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return written(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.col("component").alias("root")), "simhash-rooted")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text; others are not read): doc_id, fp, component_id, the smallest doc_id
     reachable by links of fingerprints that differ in LIMIT bits or fewer.
 
-    Equal fingerprints are linked, whatever their texts; so are all texts without words (null ones too). Null ids are
-    not among the smallest; a component of null ids alone has a null id. An empty table gives an empty result.
+    Equal fingerprints are linked, whatever their texts; so are all texts without words (null ones too). Texts of any
+    length are read whole, their shingles in parts. Null ids are not among the smallest; a component of null ids alone
+    has a null id. Columns of other names are not read. An empty table gives an empty result.
     """
     marked = written(fingerprints(docs), "simhash")
     rooted = _rooted(marked, F.min("doc_id"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    of_fp = rooted.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    linked = rooted.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")).withColumnRenamed("root", "_root")
+    of_linked = looked_up(linked.select("fp", "n", "root"), "root", named, "_root", "many", rooted.count())
+    of_fp = of_linked.select(F.col("fp").alias("_fp"), "n", "component_id").unionByName(rooted.where("root is null").select(F.col("fp").alias("_fp"), "n", F.col("least").alias("component_id")))
+    return looked_up(marked, "fp", of_fp, "_fp", "n", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -175,7 +186,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     names = ["_none", "_id", "_text"]
     marked = written(fingerprints(docs.select("doc_id", "text"), *key), "simhash")
     rooted = _rooted(marked, F.min(F.struct(*names)))
-    kept = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "simhash-kept")
+    kept = written(rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select("least.*"), "simhash-kept")
     # the rows that meet here are dealt and sorted by the columns that they are grouped by
     whole = docs.select(*key, whole_row(docs).alias("_row")).join(kept, names, "left_semi")
     return whole.groupBy(*names).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")

@@ -20,6 +20,8 @@ SCALE = 1000
 #: A document is kept if its mean log-likelihood ratio (natural log, a feature) is at least this.
 THRESHOLD = -0.045
 MIN_WORDS = 50
+#: Parts that rows without id are dealt to.
+SPREAD = 4096
 MAX_REPEAT_PERCENT = 50
 
 
@@ -40,11 +42,13 @@ def _hashes(text: Column) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """The log-likelihood ratio of each bucket in thousandths: counts over all rows of docs, and over those whose doc_id
     is in trusted. BUCKETS rows come to the driver, however large the corpus. Without trusted text every ratio is 0."""
-    ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
+    ids = trusted.select(F.col("doc_id").alias("trusted_id"), F.lit(0).alias("trusted_spread")).where("trusted_id is not null").distinct()
+    # rows without id meet none; they are spread, so that they do not all go to one task
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("int")).otherwise(F.lit(0))
     flagged = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", spread.alias("spread"))
         # trusted ids grow with the corpus, so they are never broadcast
-        .join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
+        .join(ids.hint("merge"), (F.col("doc_id") == F.col("trusted_id")) & (F.col("spread") == F.col("trusted_spread")), "left")
         .select(_hashes(F.col("text")).alias("h"), F.col("trusted_id").isNotNull().cast("long").alias("t"))
     )
     counts = flagged.select("t", F.explode(_features(F.col("h"))).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
@@ -125,14 +129,16 @@ def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text; other columns are not read): the base columns, base_failed, llr
     (mean ratio a feature, 0 without words) and kept.
 
-    Null text has no words and fails the base rules. Null and repeated ids are judged like any other row. An empty
-    table gives an empty result. Without trusted documents the ratio is 0 throughout and only the base rules decide.
+    Null text has no words and fails the base rules. Texts of any length are read whole. Null and repeated ids are judged
+    like any other row; a repeated id that is trusted is so in each of its rows. A ratio at the threshold is kept. An
+    empty table gives an empty result. Without trusted documents the ratio is 0 throughout and only the base rules decide.
     """
     return _judged(base_columns(docs.select("doc_id", "text")), fit(docs, trusted)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def keep(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, columns as given: judged in one pass, without a join back."""
+    """The rows of docs that judge() keeps, columns as given, whatever their names: judged in one pass, without a join
+    back. Nulls, empty and long texts, repeated rows and an empty table as in judge(); repeated rows are kept alike."""
     held = docs.select("doc_id", "text", whole_row(docs).alias("_row"))
     return _judged(base_columns(held, "_row"), fit(docs, trusted)).where("kept").select("_row.*")
 

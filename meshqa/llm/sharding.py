@@ -21,8 +21,9 @@ HASH_BITS = 28
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, and the metadata dimensions. They depend on the text alone, so equal texts share a
-    point and stay together. Each holds a 32-bit value above hash bits of the text, which part texts of equal value."""
+    """doc_id, size, text_crc32, and the metadata dimensions: bytes, the share of characters beyond ASCII's in them and the
+    mean length of a word, in thousandths. They depend on the text alone, so equal texts share a point and stay together.
+    Each holds a 32-bit value above hash bits of the text, which part texts of equal value."""
     text = F.coalesce(F.col("text"), F.lit(""))
     octets = F.octet_length(text).cast("long")
     digest = F.xxhash64(text)
@@ -35,7 +36,7 @@ def points(docs: DataFrame) -> DataFrame:
         digest.alias("digest"),
         value(F.least(octets, F.lit(2**31 - 1))).alias("d0"),
         value(F.floor(F.coalesce(F.try_divide(1_000_000 * (octets - F.char_length(text)), octets), F.lit(0)))).alias("d1"),
-        value(F.pmod(digest, F.lit(1_000_003))).alias("d2"),
+        value(F.floor(F.try_divide(1000 * octets, 1 + octets - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))))).alias("d2"),
     )
 
 
@@ -125,8 +126,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of docs (doc_id, text).
 
     Sizes of shards are near equal (law `bytes`), as far as groups of equal texts, which stay together, allow: a group
-    larger than a shard makes that shard larger. Null text counts as empty; null and repeated ids are rows like others;
-    an empty table gives an empty result, fewer texts than shards leave shards empty.
+    larger than a shard makes that shard larger. Null text counts as empty; texts of any length are measured whole; null
+    and repeated ids are rows like others, and slots of rows alike in id and text are theirs in any order. Columns of
+    other names are not read. An empty table gives an empty result, fewer texts than shards leave shards empty.
     """
     at = written(points(docs), "shard-points")
     run = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(RUNS)).cast("int")

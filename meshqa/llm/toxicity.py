@@ -214,15 +214,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that score below 0.5, columns as given."""
+    """The rows of docs that score below 0.5, columns as given, whatever their names. Null and empty texts, repeated rows
+    and an empty table as in judge()."""
     return score(docs.select("text", whole_row(docs).alias("_row")), model).where("score < 0.5").select("_row.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text; others are not read): doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without n-grams; null ids are not held out and never train; repeated
-    rows are scored alike. Labels that are null or neither 0 nor 1 do not train; without any, every score is about 0.
+    Null and empty texts get the score of a text without n-grams; texts of any length are read whole, in training too.
+    Null ids are not held out and never train; repeated rows are scored alike. Of rows that share a labelled id, that
+    with the least text trains, and an id with both labels trains once for each. A score of 0.5 is toxic. Labels that are
+    null or neither 0 nor 1 do not train; without any, every score is about 0. Columns of other names are not read.
     """
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select(
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -240,6 +240,47 @@ def test_shards(docs, shards):
     assert {r.shard for r in got} <= set(range(shards)) and {r.law for r in got} == {"bytes"}
 
 
+def test_shards_are_a_tree_of_weighted_medians(docs):
+    """Every split by brute force: along the widest dimension, and no other cut of it comes nearer its aim by more than the
+    tolerance."""
+    points = {(r.doc_id, r.digest): r for r in sharding.points(docs).collect()}
+    at = sharding.tree(sharding.points(docs), 6).collect()
+    extent = {d: max(1, (max(r[d] for r in at) >> 28) - (min(r[d] for r in at) >> 28)) for d in sharding.DIMENSIONS}
+    assert len(points) <= len(at) == len(corpus())
+    aim = sum(r["size"] for r in at) / 6
+
+    def check(rows, first, n):
+        assert all(first <= r.node < first + n for r in rows)
+        if n == 1 or not rows:
+            return
+        left, right = ([r for r in rows if (r.node < first + n // 2) == side] for side in (True, False))
+        spread = lambda d: ((max(r[d] for r in rows) >> 28) - (min(r[d] for r in rows) >> 28)) / extent[d]
+        d = max(sharding.DIMENSIONS, key=spread)
+        if left and right:
+            assert max(r[d] for r in left) < min(r[d] for r in right)
+        want, sums = sum(r["size"] for r in rows) * (n // 2) / n, Counter()
+        for r in rows:
+            sums[r[d]] += r["size"]
+        cuts, total = [0], 0
+        for key in sorted(sums):
+            cuts.append(total := total + sums[key])
+        off = abs(sum(r["size"] for r in left) - want)
+        assert off <= min(abs(c - want) for c in cuts) + sharding.TOLERANCE * aim + 1
+        check(left, first, n // 2)
+        check(right, first + n // 2, n - n // 2)
+
+    check(at, 0, 6)
+
+
+def test_shards_keep_a_large_group_together(spark):
+    many = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same text again', concat('text ', id)) as text")
+    got = sharding.shard(many).collect()
+    assert len({r.shard for r in got if r.doc_id % 3 == 0}) == 1
+    for k in {r.shard for r in got}:
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_even_and_empty(spark, empty):
     even = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") % 7 + 1).cast("int")).alias("text"))
     sizes = [r["sum(size)"] for r in sharding.shard(even).groupBy("shard").sum("size").collect()]
@@ -262,6 +303,42 @@ def test_toxicity_learns_and_keeps(spark, docs, empty, labels):
     assert toxicity.keep(docs, toxicity.train([], [])).columns == docs.columns
 
 
+def test_toxicity_by_brute_force():
+    """Places, log-count ratios and the features kept, in plain Python; and the weights are where the loss is flat."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["Bad", "worse", "fine", "good", "mild", "so", "é!"]) for _ in range(rng.randrange(0, 30))) + (" rotten" * (i % 2)) for i in range(120)]
+    toxic = [i % 2 if rng.random() > 0.1 else 1 - i % 2 for i in range(120)]
+
+    def plain(text):
+        s, mask = f" {' '.join(text.lower().split())} ", (1 << 32) - 1
+        out = set()
+        for n in toxicity.SIZES:
+            for i in range(len(s) - n + 1):
+                h = ord(s[i]) * 2654435761 & mask
+                for k in range(2, n + 1):
+                    h = (h * 40503 & mask) ^ (h >> 15) ^ ((ord(s[i + k - 1]) + k) * 2246822519 & mask)
+                out.add(((h ^ (h >> 16)) * 2146121005 & mask) >> 12)
+        return out
+
+    has = [plain(t) for t in texts]
+    assert all(h == set(toxicity.places(t).tolist()) for h, t in zip(has, texts))
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    ratio = {}
+    for p in set().union(*has):
+        a, b = 1 + sum(p in h for h, t in zip(has, toxic) if t), 1 + sum(p in h for h, t in zip(has, toxic) if not t)
+        r = np.log(a / (n1 + 2)) - np.log(b / (n0 + 2))
+        if abs(r) / (1 / a + 1 / b) ** 0.5 > toxicity.STANDS_OUT:
+            ratio[p] = r
+    model = toxicity.train(texts, toxic)
+    assert set(model.at.tolist()) == set(ratio) and ratio
+    weight, prior = dict(zip(model.at.tolist(), model.weight.tolist())), np.log((n1 + 0.5) / (n0 + 0.5))
+    logit = lambda h: model.offset - prior + sum(weight[p] for p in h if p in weight)
+    loss = lambda shift: sum(np.log1p(np.exp(-(logit(h) + shift) * (1 if t else -1))) * 0.5 / (n1 if t else n0) for h, t in zip(has, toxic))
+    assert loss(0.0) <= min(loss(-0.05), loss(0.05)) and loss(0.0) < 0.5
+    score = model.scorer()
+    assert all(abs(score(t) - 1 / (1 + np.exp(-(logit(h) + prior)))) < 1e-5 for t, h in zip(texts, has))
+
+
 def test_toxicity_trains_on_whole_texts(spark):
     rng = random.Random(10)
     start = "plain words go on and on " * 900
@@ -291,15 +368,31 @@ def test_hosts(spark):
     assert hosts.judge(pages.limit(0)).count() == 0
 
 
-def test_host_reputation_shrinks(spark):
-    pages = [(f"x://bad.site.com/en/{i}",) for i in range(40)] + [("x://bad.site.com/fr/1",), ("x://new.site.com/fr/1",), ("x://good.org/fr/1",)] + [(f"x://good.org/fr/{i}",) for i in range(40)]
-    got = {r.url: r.verdict for r in hosts.judge(spark.createDataFrame([(i, u) for i, (u,) in enumerate(pages)], "page_id long, url string")).join(spark.createDataFrame([(i, u) for i, (u,) in enumerate(pages)], "page_id long, url string"), "page_id").collect()}
-    assert got["x://bad.site.com/fr/1"] == "block" and got["x://good.org/fr/1"] == "allow"
+RULED = [("block", "com", "/en/"), ("allow", "org", "/ok/")]
+
+
+def _verdicts(spark, urls: list[str]) -> dict[str, str]:
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {r.url: r.verdict for r in hosts.judge(pages, RULED).join(pages, "page_id").collect()}
+
+
+def test_host_reputation_blocks_and_spares(spark):
+    urls = [f"x://bad.site.com/en/{i}" for i in range(40)] + [f"x://good.org/ok/{i}" for i in range(40)]
+    unruled = {"x://bad.site.com/fr/1": "block", "x://new.site.com/fr/1": "block", "x://good.org/fr/1": "allow", "x://new.org/fr/1": "allow", "x://elsewhere.net/": "allow", f"x://{'long.' * 3000}org/": "allow"}
+    got = _verdicts(spark, [*urls, *unruled])
+    assert {u: got[u] for u in unruled} == unruled
+
+
+def test_host_verdicts_are_the_same_however_blocked_hosts_are_met(spark, monkeypatch):
+    urls = [f"x://h{i % 9}.{'com' if i % 2 else 'org'}/{'en' if i % 3 else 'ok'}/{i}" for i in range(300)] + [None] * 20
+    want = _verdicts(spark, urls)
+    monkeypatch.setattr(hosts, "BROADCAST_HOSTS", -1)
+    assert _verdicts(spark, urls) == want
 
 
 def test_fingerprints(docs, empty):
     order = sorted(corpus(), key=lambda r: (r[0] is None, -(r[0] or 0), _tie(r[1] or "")))
-    lines = lambda t: {x for x in t.split("\n") if WORD.search(x)}
+    lines = lambda t: {x for x in re.split(r"\n|(?<=[.!?]) +", t) if WORD.search(x)}
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     want = Counter()
     for k, (doc, text, *_) in enumerate(order):
@@ -331,14 +424,47 @@ def test_fingerprint_blocks(spark, monkeypatch):
         assert {r.doc_id: r.next_text for r in fingerprints.with_next(df).collect()} == after
 
 
-def test_sketches_recover_differences(spark):
+def _marks(digest: set[int]) -> str:
+    """A sketch by the book: three tables of eight cells, as text."""
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    of = lambda t, x: xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), xxhash.xxh64_intdigest(t.to_bytes(4, "little"), 42))
+    cells = {}
+    for x in digest:
+        for t in range(3):
+            n, b, h = cells.get((t, of(t, x) & 7), (0, 0, 0))
+            cells[t, of(t, x) & 7] = n + 1, b ^ x % (1 << 64), h ^ of(3, x)
+    assert all(signed(b) >= -(1 << 63) for _, b, _ in cells.values())
+    return "".join(f"{t * 8 + c:02x}{n:08x}{b:016x}{h:016x}" for (t, c), (n, b, h) in sorted(cells.items()))
+
+
+def test_fingerprint_strings(spark, docs):
+    rng = random.Random(8)
+    many = "\n".join(f"line {rng.random()}" for _ in range(5000))
+    rows = [(1, many), (2, "one. two! three?  four\n\nfive"), (3, None)] + [(10 + i, f"a {i}. b {i}\nc") for i in range(300)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {d: {xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(r"\n|(?<=[.!?]) +", t or "") if WORD.search(x)} for d, t in rows}
+    for d, t in rows:
+        assert got[d].fingerprint == _marks(sets[d])
+    # the edited text of 2 ends with the start of 1; that of 1, the last, with the start of the first, 309
+    t = dict(rows)
+    edited = t[2][: len(t[2]) - len(t[2]) // 2] + t[1][: len(t[2]) // 2]
+    assert got[2].edited_fingerprint == _marks({xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(r"\n|(?<=[.!?]) +", edited) if WORD.search(x)})
+    assert got[1].near_edited > 0.3 and got[1].near_next == 0 and got[3].near_next == 0
+
+
+def test_sketches_recover_differences(spark, monkeypatch, tmp_path):
     rng = random.Random(4)
-    rows = [([rng.getrandbits(62) for _ in range(rng.randrange(0, 40))], [rng.getrandbits(62) for _ in range(rng.randrange(0, 9))]) for _ in range(30)]
-    df = spark.createDataFrame([(i, a, a[len(b) :] + b) for i, (a, b) in enumerate(rows)], "i long, a array<long>, b array<long>")
-    got = {r.i: r.d for r in df.select("i", fingerprints.recovered(fingerprints.sketch(F.col("a"), 32), fingerprints.sketch(F.col("b"), 32), 32).alias("d")).collect()}
+    rows = [([rng.getrandbits(62) for _ in range(rng.choice([0, 3, 40, 900]))], [rng.getrandbits(62) for _ in range(rng.randrange(0, 9))]) for _ in range(60)]
+    # with no room to spare and few rounds, peeling gets stuck and goes on to larger sketches
+    monkeypatch.setattr(fingerprints, "ROOM", 0.25)
+    monkeypatch.setattr(fingerprints, "TIMES", 1)
+    monkeypatch.setattr(fingerprints, "CELLS", 2)
+    df = spark.createDataFrame([(i, [a, a[len(b) :] + b, b]) for i, (a, b) in enumerate(rows)], "r long, sets array<array<long>>")
+    paths = []
+    got = {(r.r, r.p): r.d for r in fingerprints._resolved(spark, df, paths).collect()}
+    assert len(paths) > 1
     for i, (a, b) in enumerate(rows):
-        assert got[i] is None or sorted(got[i]) == sorted(set(a) ^ set(a[len(b) :] + b))
-    assert sum(d is not None for d in got.values()) > 25
+        assert got.get((i, 1), 0) == len(set(a) ^ set(a[len(b) :] + b)) and got.get((i, 2), 0) == len(set(a) ^ set(b))
 
 
 def _groups(fps: list[int]) -> dict[int, int]:
@@ -387,6 +513,27 @@ def test_simhash_keeps_a_row_of_each_component(spark):
     assert sorted(r.n for r in stays) == [1, 2, 5, 6, 7]
 
 
+def test_simhash_grids_grow_with_the_corpus():
+    assert neardup.blocks_for(10**6) == 7 < neardup.blocks_for(10**8) < neardup.blocks_for(10**10)
+    rng = random.Random(12)
+    for blocks in (7, 9, 12):
+        masks = neardup._masks(blocks)
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a ^ sum(1 << k for k in rng.sample(range(64), 4))
+            a, b = (int(x) for x in neardup._embed(np.array([a, b], np.uint64)))
+            assert any(a & m == b & m for m in masks)
+
+
+def test_simhash_frequent_keys(spark, monkeypatch, docs):
+    from meshqa.operators import components as C
+
+    want = rows_of(neardup.groups(docs))
+    monkeypatch.setattr(C, "OFTEN", 1)
+    monkeypatch.setattr(C, "ONE_IN", 50)
+    assert rows_of(neardup.groups(docs)) == want
+
+
 def test_simhash_links_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(neardup, "CELL", 16)
     monkeypatch.setattr(neardup, "ALL_LINKS", 4)
