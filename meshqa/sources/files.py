@@ -28,6 +28,34 @@ def to_metrics(row: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.to_json(F.struct(F.col(c).alias("v"))).alias("value")) for c in row.columns])))
 
 
+def metrics_of(table: DataFrame) -> dict:
+    """metric, value (JSON text) as a dictionary: a row a metric of one result."""
+    return {r.metric: json.loads(r.value).get("v") for r in table.collect()}
+
+
+def write_geojson(df: DataFrame, path: str, line: str = "line") -> None:
+    """Lines as GeoJSON features, one a row of text; other columns are their properties."""
+    coordinates = F.transform(line, lambda p: F.array(p["x"], p["y"]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*[c for c in df.columns if c != line]).alias("properties"), F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+    df.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_geojson(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """properties (JSON text) and line: a row for each line of GeoJSON features, one a row of text; whole: files that hold
+    a collection each. Further ordinates are skipped; features that are no lines are left out."""
+    feature = "struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>>"
+    text = spark.read.text(path, wholetext=whole)
+    found = text.select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f")) if whole else text.select(F.from_json("value", feature).alias("f"))
+    of = F.col("f.geometry.coordinates")
+    lines = F.when(F.col("f.geometry.type") == "LineString", F.array(F.from_json(of, "array<array<double>>"))).when(F.col("f.geometry.type") == "MultiLineString", F.from_json(of, "array<array<array<double>>>"))
+    return found.select(F.col("f.properties").alias("properties"), F.explode(lines).alias("l")).select("properties", F.transform("l", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("line"))
+
+
+def lines_of(features: DataFrame) -> DataFrame:
+    """A row a line of features with `parts`, as the GeoPackage source gives them."""
+    return features.select(*[c for c in features.columns if c != "parts"], F.explode("parts").alias("line"))
+
+
 def cached(spark: SparkSession, folder: str, name: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
     """A table kept under its name and settings; made if it is not there."""
     path = f"{folder}/{name}" + "".join(f"_{k}={v}" for k, v in sorted(settings.items()))
