@@ -383,6 +383,15 @@ def test_host_reputation_blocks_and_spares(spark):
     assert {u: got[u] for u in unruled} == unruled
 
 
+def test_hosts_stand_out_from_all_that_rules_say(spark):
+    urls = [f"x://a{i % 5}.bad.com/en/{i}" for i in range(200)] + [f"x://b{i % 5}.mixed.com/{'en' if i % 2 else 'ok'}/{i}" for i in range(100)]
+    rules = [*RULED, ("allow", "com", "/ok/")]
+    pages = spark.createDataFrame(list(enumerate([*urls, "x://a1.bad.com/", "x://b1.mixed.com/", "x://c.new.com/"])), "page_id long, url string")
+    got = {r.host: r.verdict for r in hosts.judge(pages, rules).where("rule is null").collect()}
+    assert got == {"a1.bad.com": "block", "b1.mixed.com": "allow", "c.new.com": "allow"}
+    assert {r.verdict for r in hosts.judge(pages.where("page_id < 200 or page_id >= 300"), rules).where("rule is null").collect()} == {"allow"}
+
+
 def test_host_verdicts_are_the_same_however_blocked_hosts_are_met(spark, monkeypatch):
     urls = [f"x://h{i % 9}.{'com' if i % 2 else 'org'}/{'en' if i % 3 else 'ok'}/{i}" for i in range(300)] + [None] * 20
     want = _verdicts(spark, urls)
