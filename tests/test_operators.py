@@ -204,3 +204,17 @@ def test_geojson_lines_come_back(spark, tmp_path):
         json.dump({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": 5}, "geometry": {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 0]], [[5, 5], [5, 7, 3]]]}}]}, f)
     whole = files.read_geojson(spark, f"{tmp_path}/whole.geojson", whole=True)
     assert rows(whole.select(G.length(F.col("line")).alias("m")), "m") == [(1.0,), (2.0,)]
+
+
+def test_streams_are_flagged_and_counted(spark, tmp_path):
+    from meshqa.streaming import classify
+
+    schema = "at timestamp, way string"
+    given = spark.createDataFrame([("2024-01-01 00:01:00", "lane"), ("2024-01-01 00:02:00", "track"), ("2024-01-01 00:07:00", None), ("2024-01-01 01:00:00", "lane")], "at string, way string")
+    given.selectExpr("cast(at as timestamp) at", "way").write.parquet(f"{tmp_path}/in")
+    stream = classify.flagged(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), {"A": "way in ['lane', 'track']"})
+    counted = classify.counts_by_window(stream, "at", "bicycle_infrastructure")
+    q = counted.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r.start.hour, r.start.minute, r.bicycle_infrastructure): r.n for r in spark.table("counted").collect()}
+    assert got == {(0, 0, "yes"): 2, (0, 5, "no"): 1, (1, 0, "yes"): 1}
