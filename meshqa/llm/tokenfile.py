@@ -32,9 +32,10 @@ RANK_BITS = 512
 END_ID = 2
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 18
-#: What the splitter of the vocabulary's format never joins: a run without white space and a blank before it, white space
-#: up to the last of it, and that. Python's \s also has four separators (1C to 1F) that are none there.
-UNITS = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+#: What the splitter of the vocabulary's format never joins to what is beside it: Latin letters up to something else than
+#: a letter or digit, or else a run without white space, with a blank before them; white space up to the last of it, and
+#: that. Python's \s also has four separators (1C to 1F) that are none there.
+UNITS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?!\w)| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 LONGEST, REMEMBERED = 64, 400_000
 SCHEMA = "part int, seq int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, codes binary"
 
