@@ -63,3 +63,26 @@ def rectangle_cells(spark, xmin: float, ymin: float, xmax: float, ymax: float, s
         a, b, c, d = map(float, hole)
         cells = cells.withColumn("area", F.expr(f"area - greatest(0, least(xmax, {c}D) - greatest(xmin, {a}D)) * greatest(0, least(ymax, {d}D) - greatest(ymin, {b}D))"))
     return cells.where("area > 0")
+
+
+def convex_cells(spark, window: list[tuple[float, float]], size: float, holes: list[list[tuple[float, float]]] | None = None) -> DataFrame:
+    """cx, cy, area: cells of a grid of `size` from the origin that share area with a convex study area (counter-clockwise
+    corners), less convex holes that lie apart from each other."""
+    xs, ys = zip(*window)
+    lox, loy = int(min(xs) // size), int(min(ys) // size)
+    wide, high = int(max(xs) // size) - lox + 1, int(max(ys) // size) - loy + 1
+
+    def clipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def area(ring):
+            return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]]))) / 2
+
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                x, y = (lox + i // high) * size, (loy + i % high) * size
+                square = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+                # what of the hole lies in the window and the cell
+                out.append((int(lox + i // high), int(loy + i % high), area(G.clip_convex(square, window)) - sum(area(G.clip_convex(G.clip_convex(square, window), h)) for h in holes or [])))
+            yield pd.DataFrame(out, columns=["cx", "cy", "area"])
+
+    return spark.range(wide * high).mapInPandas(clipped, "cx int, cy int, area double").where("area > 1e-9")

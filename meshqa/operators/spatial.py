@@ -67,3 +67,17 @@ def overlay_sql(source: str, cell: float, segments: str = "seg", key: str = "id"
       SELECT {key}, floor((x1 + (t + f) / 2 * (x2 - x1)) / {c})::INT AS cx, floor((y1 + (t + f) / 2 * (y2 - y1)) / {c})::INT AS cy, (t - f) * len AS part FROM (
         SELECT *, unnest(ts[:-2]) AS f, unnest(ts[2:]) AS t FROM (SELECT *, list_sort(list_distinct(list_filter([0.0::DOUBLE, 1.0::DOUBLE] || {grid('x')} || {grid('y')}, lambda q: q >= 0 AND q <= 1))) AS ts FROM {segments}) q) q) q
       WHERE part > 1e-9 GROUP BY ALL) q USING ({key}))"""
+
+
+def clip_lines(df: DataFrame, window: list[tuple[float, float]], key: str = "id", line: str = "line") -> DataFrame:
+    """Rows (key is unique) whose lines lie in a convex study area (counter-clockwise corners) for some length, with
+    `inside`, that length. A segment's part is between the last border that it enters and the first that it leaves."""
+    enter, leave = ["0.0D"], ["1.0D"]
+    for (ax, ay), (bx, by) in zip(window, [*window[1:], window[0]]):
+        side = lambda i: f"({bx - ax!r}D * (y{i} - {ay!r}D) - {by - ay!r}D * (x{i} - {ax!r}D))"  # noqa: B023, E731
+        p, q = side(1), side(2)
+        enter.append(f"case when {p} < 0 and {q} < 0 then 2.0D when {p} < 0 then {p} / ({p} - {q}) else 0.0D end")
+        leave.append(f"case when {p} >= 0 and {q} < 0 then {p} / ({p} - {q}) else 1.0D end")
+    part = f"(least({', '.join(leave)}) - greatest({', '.join(enter)})) * sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))"
+    cut = segments_of(df, key, line=line).withColumn("inside", F.expr(part)).where("inside > 1e-9")
+    return df.join(cut.groupBy(key).agg(F.sum("inside").alias("inside")), key)

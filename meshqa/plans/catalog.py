@@ -13,7 +13,7 @@ from meshqa.operators import matching as M
 from meshqa.operators import polygons as P
 from meshqa.operators import rules as R
 from meshqa.operators import topology as T
-from meshqa.operators.spatial import overlay, overlay_sql
+from meshqa.operators.spatial import clip_lines, overlay, overlay_sql
 from meshqa.plans import oracle as O
 from meshqa.sources.network import CTE, edges, nodes, raw_edges, reference_edges
 from meshqa.sources.scratch import written
@@ -654,6 +654,15 @@ def simple_graph(s, d):
     return T.simple_graph(edges(s, d), 10_000_000_000).select("id", "u", "v", r6(G.length(F.col("line"))).alias("length"))
 
 
+#: A convex study area, counter-clockwise.
+STUDY = [(200.0, -50.0), (7300.0, 150.0), (9000.0, 900.0), (4000.0, 1400.0), (300.0, 800.0)]
+
+
+@query(f"SELECT id, round(sum(inside), 6) AS inside FROM {O.inside('seg', STUDY)} GROUP BY id")
+def study_area_lines(s, d):
+    return clip_lines(edges(s, d), STUDY).select("id", r6("inside").alias("inside"))
+
+
 # polygons: beyond SQL without spatial functions; tests hold them against plain versions
 @query()
 def graph_area(s, d):
@@ -665,5 +674,10 @@ def clipped_area(s, d):
     return P.graph_area(nodes(s, d), [(0.0, 0.0), (1500.0, 0.0), (2000.0, 1100.0), (0.0, 1200.0)])
 
 
+@query()
+def study_area_cells(s, d):
+    return P.convex_cells(s, STUDY, CELL, [[(2000.0, 300.0), (2600.0, 300.0), (2300.0, 700.0)]])
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return grid_density(s, d)

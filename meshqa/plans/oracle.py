@@ -53,6 +53,15 @@ def folded(l: str, r: str) -> str:
     return f"least({turn} % 180, 180 - {turn} % 180)"
 
 
+def inside(seg: str, window: list[tuple[float, float]]) -> str:
+    """id, inside: segments cut wherever they meet a border's line; each piece is in or out as its middle is."""
+    borders = list(zip(window, [*window[1:], window[0]]))
+    side = lambda a, b, x, y: f"(({b[0] - a[0]}) * ({y} - ({a[1]})) - ({b[1] - a[1]}) * ({x} - ({a[0]})))"
+    at = [f"CASE WHEN {side(a, b, 'x1', 'y1')} * {side(a, b, 'x2', 'y2')} < 0 THEN {side(a, b, 'x1', 'y1')} / ({side(a, b, 'x1', 'y1')} - {side(a, b, 'x2', 'y2')}) END" for a, b in borders]
+    middle = " AND ".join(side(a, b, "(x1 + (f + t) / 2 * (x2 - x1))", "(y1 + (f + t) / 2 * (y2 - y1))") + " >= 0" for a, b in borders)
+    return f"(SELECT id, (t - f) * len AS inside FROM (SELECT *, unnest(ts[:-2]) AS f, unnest(ts[2:]) AS t FROM (SELECT *, list_sort(list_distinct(list_filter([0.0::DOUBLE, 1.0::DOUBLE, {', '.join(at)}], lambda q: q IS NOT NULL))) AS ts FROM {seg}) q) q WHERE {middle} AND (t - f) * len > 1e-9)"
+
+
 def vertices(seg: str, key: str) -> str:
     return f"(SELECT {key} AS key, x1 AS x, y1 AS y FROM {seg} UNION ALL SELECT {key}, x2, y2 FROM {seg} WHERE k = many - 1)"
 

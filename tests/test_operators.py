@@ -218,3 +218,15 @@ def test_streams_are_flagged_and_counted(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.start.hour, r.start.minute, r.bicycle_infrastructure): r.n for r in spark.table("counted").collect()}
     assert got == {(0, 0, "yes"): 2, (0, 5, "no"): 1, (1, 0, "yes"): 1}
+
+
+def test_study_areas(spark):
+    from meshqa.operators import polygons as P
+
+    diamond = [(10.0, 0.0), (20.0, 10.0), (10.0, 20.0), (0.0, 10.0)]
+    e = network(spark, (1, 1, 2, [(-5, 10), (25, 10)]), (2, 3, 4, [(0, 0), (4, 4)]), (3, 5, 6, [(10, 10), (10, 30), (12, 30)]), (4, 7, 8, [(0, 0), (30, 0)]))
+    assert rows(S.clip_lines(e, diamond).withColumn("inside", F.round("inside", 6)), "id", "inside") == [(1, 20.0), (3, 10.0)]
+    cells = P.convex_cells(spark, diamond, 10.0)
+    assert rows(cells, "cx", "cy", "area") == [(0, 0, 50.0), (0, 1, 50.0), (1, 0, 50.0), (1, 1, 50.0)]
+    hole = [(8.0, 8.0), (12.0, 8.0), (12.0, 12.0), (8.0, 12.0)]
+    assert P.convex_cells(spark, diamond, 10.0, [hole]).agg(F.sum("area")).first()[0] == 200 - 16
