@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 from meshqa.sources.scratch import new_path, removed
 
 MOST_ROUNDS = 60
-#: A key is frequent if it has more than one in so many of the rows, and more than OFTEN of them.
-ONE_IN, OFTEN = 1000, 5000
+#: A key is frequent if it has more than one in so many of the rows, and more than OFTEN of them; HUB of the narrow rows of
+#: links.
+ONE_IN, OFTEN, HUB = 1000, 2000, 200_000
 
 
-def looked_up(rows: DataFrame, key: str, found: DataFrame, of: str, n: str, total: int, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, key: str, found: DataFrame, of: str, n: str, total: int, often_from: int | None = None) -> DataFrame:
     """rows joined with found (columns `of`, unique, and n, how many rows have it; others) on key = of, `of` and n dropped.
     Frequent keys, ONE_IN at most as n adds up to total, are looked up in a broadcast; rows of the others are dealt out."""
-    often = found.where(F.col(n) > max(OFTEN, total // ONE_IN)).drop(n)
-    rest = found.where(F.col(n) <= max(OFTEN, total // ONE_IN)).drop(n)
+    bound = max(OFTEN if often_from is None else often_from, total // ONE_IN)
+    if total <= bound:
+        return rows.join(found.drop(n), F.col(key) == F.col(of)).drop(of)
+    often, rest = found.where(F.col(n) > bound).drop(n), found.where(F.col(n) <= bound).drop(n)
     more = [c for c in often.columns if c != of]
     marked = rows.join(F.broadcast(often.withColumn("_often", F.lit(True))), F.col(key) == F.col(of), "left").drop(of)
-    dealt = marked.where("_often is null").drop("_often", *more).join(rest, F.col(key) == F.col(of), how).drop(of)
+    dealt = marked.where("_often is null").drop("_often", *more).join(rest, F.col(key) == F.col(of)).drop(of)
     return marked.where("_often").drop("_often").unionByName(dealt)
 
 
@@ -46,10 +49,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "w")
         # large star: every larger neighbour is linked to the least of the neighbourhood
-        large = looked_up(both.where("v > u"), "u", least, "w", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = looked_up(both.where("v > u"), "u", least, "w", "n", total, HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node itself
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "w")
-        pulled = looked_up(large, "u", low, "w", "n", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pulled = looked_up(large, "u", low, "w", "n", total, HUB).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         star = pulled.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).unionByName(now.where("u = v")).distinct()
         after = new_path(spark, "components")
         star.write.parquet(after)
