@@ -539,6 +539,7 @@ def test_simhash_frequent_keys(spark, monkeypatch, docs):
 
     want = rows_of(neardup.groups(docs))
     monkeypatch.setattr(C, "OFTEN", 1)
+    monkeypatch.setattr(C, "HUB", 1)
     monkeypatch.setattr(C, "ONE_IN", 50)
     assert rows_of(neardup.groups(docs)) == want
 
