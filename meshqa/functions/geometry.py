@@ -139,6 +139,26 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.round(2 * 6371009 * F.asin(F.sqrt(F.least(F.lit(1.0), a))), 3)
 
 
+#: Fixed values of the WGS 84 ellipsoid and of UTM: equatorial radius, flattening, scale and false origin.
+RADIUS, FLATTENING, SCALE, EAST, NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+
+
+def to_utm(lon: Column, lat: Column, zone: int, south: bool = False) -> Column:
+    """Degrees to metres in a UTM zone, by the series in the third flattening up to its third power: to a millimetre or so
+    within a few degrees of the zone's middle. A point, as struct<x,y>."""
+    n = FLATTENING / (2 - FLATTENING)
+    rectifying = SCALE * RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    turn, s = F.radians(lon - (6 * zone - 183)), F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(alpha, 1):
+        x, y = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.struct((EAST + rectifying * x).alias("x"), ((NORTH if south else 0.0) + rectifying * y).alias("y"))
+
+
 def hull(points) -> list[tuple[float, float]]:
     """The convex hull, counter-clockwise, of (x, y) pairs."""
     ordered = sorted(set(points))

@@ -140,6 +140,11 @@ def incompatible_grid(s, d):
     return R.incompatible_tags(overlay(edges(s, d), CELL), BAD, ["cx", "cy"])
 
 
+@query(f"SELECT cx, cy, sum(count)::BIGINT AS count FROM ({_BAD_SQL.format(k='cx, cy, ', t=overlay_sql('edge', CELL), g=' GROUP BY cx, cy')}) GROUP BY cx, cy")
+def incompatible_grid_total(s, d):
+    return R.incompatible_tags(overlay(edges(s, d), CELL), BAD, ["cx", "cy"]).groupBy("cx", "cy").agg(F.sum("count").alias("count"))
+
+
 _TYPE = "concat(CASE WHEN highway IS NOT DISTINCT FROM 'cycleway' THEN 'A' ELSE '' END, CASE WHEN cycleway IS NOT NULL AND bicycle IS DISTINCT FROM 'no' THEN 'B' ELSE '' END, CASE WHEN bicycle IS NOT DISTINCT FROM 'designated' AND oneway IS NULL THEN 'C' ELSE '' END)"
 
 
@@ -434,6 +439,22 @@ def haversine(s, d):
     return edges(s, d).select("id", G.haversine(first["y"] / 1e4, first["x"] / 1e4, last["y"] / 1e4, last["x"] / 1e4).alias("metres"))
 
 
+_N = "(1 / 298.257223563) / (2 - 1 / 298.257223563)"
+_UTM = f"""SELECT n, round(500000 + m * (h + a1 * cos(2*g) * (exp(2*h) - exp(-2*h)) / 2 + a2 * cos(4*g) * (exp(4*h) - exp(-4*h)) / 2 + a3 * cos(6*g) * (exp(6*h) - exp(-6*h)) / 2), 2) AS x,
+  round(m * (g + a1 * sin(2*g) * (exp(2*h) + exp(-2*h)) / 2 + a2 * sin(4*g) * (exp(4*h) + exp(-4*h)) / 2 + a3 * sin(6*g) * (exp(6*h) + exp(-6*h)) / 2), 2) AS y FROM (
+  SELECT *, atan2(t, cos(l)) AS g, ln((1 + sin(l) / sqrt(1 + t*t)) / (1 - sin(l) / sqrt(1 + t*t))) / 2 AS h FROM (
+    SELECT *, (exp(q) - exp(-q)) / 2 AS t FROM (SELECT *, ln((1 + s) / (1 - s)) / 2 - e * ln((1 + e*s) / (1 - e*s)) / 2 AS q FROM (
+      SELECT n, radians(x / 1e5 - 1) AS l, sin(radians(55 + y / 1e5)) AS s, 2 * sqrt(k) / (1 + k) AS e, 0.9996 * 6378137 / (1 + k) * (1 + k*k / 4 + k*k*k*k / 64) AS m,
+        k / 2 - 2*k*k / 3 + 5*k*k*k / 16 AS a1, 13*k*k / 48 - 3*k*k*k / 5 AS a2, 61*k*k*k / 240 AS a3 FROM node, (SELECT {_N} AS k) q) q) q) q) q"""
+
+
+@query(_UTM)
+def projected(s, d):
+    """Nodes as if a hundred kilometres were a degree, west of the middle of zone 32."""
+    at = G.to_utm(8 + F.col("x") / 1e5, 55 + F.col("y") / 1e5, 32)
+    return nodes(s, d).withColumn("p", at).select("n", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
+
+
 @query("SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM node")
 def bounds(s, d):
     return nodes(s, d).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))

@@ -230,3 +230,23 @@ def test_study_areas(spark):
     assert rows(cells, "cx", "cy", "area") == [(0, 0, 50.0), (0, 1, 50.0), (1, 0, 50.0), (1, 1, 50.0)]
     hole = [(8.0, 8.0), (12.0, 8.0), (12.0, 12.0), (8.0, 12.0)]
     assert P.convex_cells(spark, diamond, 10.0, [hole]).agg(F.sum("area")).first()[0] == 200 - 16
+
+
+def test_projection(spark):
+    import math
+
+    def meridian(lat: float) -> float:
+        """The length of a meridian from the equator, by summing small steps."""
+        e2, steps = G.FLATTENING * (2 - G.FLATTENING), 20_000
+        return sum(G.RADIUS * (1 - e2) / (1 - e2 * math.sin(math.radians(lat) * (k + 0.5) / steps) ** 2) ** 1.5 for k in range(steps)) * math.radians(lat) / steps
+
+    rows = spark.createDataFrame([(9.0, 0.0), (9.0, 55.0), (9.001, 55.0), (9.0, 55.001), (10.5, 55.0), (7.5, 55.0)], "lon double, lat double")
+    a, b, c, d, e, f = ((r.p.x, r.p.y) for r in rows.select(G.to_utm(F.col("lon"), F.col("lat"), 32).alias("p")).collect())
+    assert a == pytest.approx((500_000, 0), abs=1e-6) and b == pytest.approx((500_000, 0.9996 * meridian(55.0)), abs=1e-3)
+    # angles are kept: a step east is at right angles to one north, and as long as it should be
+    east, north = (c[0] - b[0], c[1] - b[1]), (d[0] - b[0], d[1] - b[1])
+    assert abs(east[1]) < 1e-3 and abs(north[0]) < 1e-6
+    prime = G.RADIUS / math.sqrt(1 - G.FLATTENING * (2 - G.FLATTENING) * math.sin(math.radians(55)) ** 2) * math.cos(math.radians(55))
+    assert east[0] == pytest.approx(0.9996 * prime * math.radians(0.001), abs=1e-4)
+    assert e[0] - 500_000 == pytest.approx(500_000 - f[0], abs=1e-6) and e[1] == pytest.approx(f[1], abs=1e-6)
+    assert spark.range(1).select(G.to_utm(F.lit(9.0), F.lit(-1.0), 32, True)["y"]).first()[0] == pytest.approx(10_000_000 - 0.9996 * meridian(1.0), abs=1e-3)
