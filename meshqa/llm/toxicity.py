@@ -24,7 +24,8 @@ SIZES = (3, 4, 5, 6)
 TABLE = 1 << 20
 #: Bound of the training sample: rows a class, in the order of a hash of their ids. Their texts are read whole.
 SAMPLE_ROWS = 3000
-#: An n-gram is kept if |r| is this many standard errors, and at most so many are.
+#: An n-gram is kept if |r| is this many standard errors, and at most so many are. The first is that of 2, 3, 4 and 5 which
+#: has the least log loss in cross-validation over the training folds.
 STANDS_OUT, FEATURES = 4.0, 30_000
 RIDGE, STEPS = 1e-3, 300
 FOLDS = 5
