@@ -121,6 +121,23 @@ def segment_distance(a: str, b: str) -> str:
     return f"(CASE WHEN {crosses(a, b)} THEN 0.0 ELSE least({', '.join(ends)}) END)"
 
 
+def nearest(a: str, b: str) -> str:
+    """SQL for struct<d, x, y> of the segments a and b: their distance and the middle between their nearest points, or the
+    point where they cross. Of equal distances the least point."""
+    tried = []
+    for p, s in ((a, b), (b, a)):
+        for k in (1, 2):
+            px, py = f"{p}.x{k}", f"{p}.y{k}"
+            dx, dy = f"({s}.x2-{s}.x1)", f"({s}.y2-{s}.y1)"
+            t = f"coalesce(greatest(0.0D, least(1.0D, try_divide(({px}-{s}.x1)*{dx}+({py}-{s}.y1)*{dy}, {dx}*{dx}+{dy}*{dy}))), 0.0D)"
+            x, y = f"({s}.x1+{t}*{dx})", f"({s}.y1+{t}*{dy})"
+            tried.append(f"named_struct('d', round(sqrt(({px}-{x})*({px}-{x})+({py}-{y})*({py}-{y})), 9), 'x', round(({px}+{x})/2, 6), 'y', round(({py}+{y})/2, 6))")
+    side = lambda k: f"(({b}.x2-{b}.x1)*({a}.y{k}-{b}.y1)-({b}.y2-{b}.y1)*({a}.x{k}-{b}.x1))"
+    at = f"try_divide({side(1)}, {side(1)}-{side(2)})"
+    cross = f"named_struct('d', 0.0D, 'x', round({a}.x1+{at}*({a}.x2-{a}.x1), 6), 'y', round({a}.y1+{at}*({a}.y2-{a}.y1), 6))"
+    return f"(CASE WHEN {crosses(a, b)} THEN {cross} ELSE array_min(array({', '.join(tried)})) END)"
+
+
 def clipped(x1, y1, x2, y2, xmin, ymin, xmax, ymax) -> tuple[str, str]:
     """SQL for the part of a segment inside a rectangle: where it enters and leaves, 0 to 1 (Liang-Barsky by slabs)."""
     def slab(p, q, lo, hi):

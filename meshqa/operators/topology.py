@@ -115,11 +115,12 @@ def intersections(edges: DataFrame) -> DataFrame:
 
 
 def gaps(edges: DataFrame, parts: DataFrame, limit: float) -> DataFrame:
-    """a, b, distance: edges of different components (n, component) within `limit` of each other, a < b."""
+    """a, b, distance, x, y: edges of different components (n, component) within `limit` of each other, a < b, and the
+    place of the gap, in the middle between their nearest points."""
     own = segments_of(edges.join(parts, F.col("u") == F.col("n")), "id", "component")
     d = G.segment_distance("l", "r")
     near = near_pairs(own, own, limit, CELL, f"l.id < r.id and l.component <> r.component and {d} <= {float(limit)!r}")
-    return near.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.min(F.expr(d)).alias("distance"))
+    return near.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.min(F.expr(G.nearest("l", "r"))).alias("m")).select("a", "b", F.col("m.d").alias("distance"), "m.x", "m.y")
 
 
 def node_components(edges: DataFrame) -> DataFrame:

@@ -393,13 +393,13 @@ def intersections(s, d):
 
 
 _PARTED = f"(SELECT s.*, component FROM seg s JOIN edge e USING (id) JOIN {COMPONENT} c ON e.u = c.n)"
-_GAP = f"(SELECT l.id AS a, r.id AS b, min({O.distance('l', 'r')}) AS distance FROM {O.seg_cells('parted', GAP / 2 + 0.01)} l JOIN {O.seg_cells('parted', GAP / 2 + 0.01)} r ON l.cx = r.cx AND l.cy = r.cy AND l.id < r.id AND l.component <> r.component WHERE {O.distance('l', 'r')} <= {GAP} GROUP BY ALL)"
+_GAP = f"(SELECT l.id AS a, r.id AS b, min(list_min({O.nearest('l', 'r')})) AS m FROM {O.seg_cells('parted', GAP / 2 + 0.01)} l JOIN {O.seg_cells('parted', GAP / 2 + 0.01)} r ON l.cx = r.cx AND l.cy = r.cy AND l.id < r.id AND l.component <> r.component WHERE {O.distance('l', 'r')} <= {GAP} GROUP BY ALL)"
 
 
-@query(f"SELECT a, b, round(distance, 6) AS distance FROM {_GAP}", reach=True, more=f"parted AS MATERIALIZED {_PARTED}")
+@query(f"SELECT a, b, round(m.d, 6) AS distance, round(m.x, 3) AS x, round(m.y, 3) AS y FROM {_GAP}", reach=True, more=f"parted AS MATERIALIZED {_PARTED}")
 def component_gaps(s, d):
     e = edges(s, d)
-    return T.gaps(e, T.node_components(e), GAP).withColumn("distance", r6("distance"))
+    return T.gaps(e, T.node_components(e), GAP).select("a", "b", r6("distance").alias("distance"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query(f"SELECT a AS id FROM {_GAP} UNION SELECT b FROM {_GAP}", reach=True, more=f"parted AS MATERIALIZED {_PARTED}")

@@ -48,6 +48,19 @@ def distance(l: str, r: str) -> str:
     return f"(CASE WHEN {some} AND {t} BETWEEN 0 AND 1 AND {u} BETWEEN 0 AND 1 THEN 0.0 ELSE least({ends}) END)"
 
 
+def nearest(l: str, r: str) -> str:
+    """A list of {d, x, y}: the distance and the middle of each end and its place on the other segment, or the crossing."""
+    some, t, u = _meet(l, r)
+    out = []
+    for p, s in ((l, r), (r, l)):
+        for k in (1, 2):
+            dx, dy = f"({s}.x2-{s}.x1)", f"({s}.y2-{s}.y1)"
+            at = f"greatest(0, least(1, (({p}.x{k}-{s}.x1)*{dx}+({p}.y{k}-{s}.y1)*{dy})/({dx}*{dx}+{dy}*{dy})))"
+            out.append(f"{{'d': round({point_distance(f'{p}.x{k}', f'{p}.y{k}', s)}, 9), 'x': round(({p}.x{k}+{s}.x1+{at}*{dx})/2, 6), 'y': round(({p}.y{k}+{s}.y1+{at}*{dy})/2, 6)}}")
+    cross = f"{{'d': 0.0::DOUBLE, 'x': round({l}.x1+{t}*({l}.x2-{l}.x1), 6), 'y': round({l}.y1+{t}*({l}.y2-{l}.y1), 6)}}"
+    return f"CASE WHEN {some} AND {t} > 0 AND {t} < 1 AND {u} > 0 AND {u} < 1 THEN [{cross}] ELSE [{', '.join(out)}] END"
+
+
 def folded(l: str, r: str) -> str:
     turn = f"abs(degrees(atan2({l}.y2-{l}.y1, {l}.x2-{l}.x1) - atan2({r}.y2-{r}.y1, {r}.x2-{r}.x1)))"
     return f"least({turn} % 180, 180 - {turn} % 180)"

@@ -61,7 +61,7 @@ def test_components_and_gaps(spark):
     e = network(spark, (1, 1, 2, [(0, 0), (10, 0)]), (2, 2, 3, [(10, 0), (10, 30)]), (3, 8, 9, [(40, 40), (13, 20), (40, 0)]), (4, 20, 21, [(500, 500), (520, 500)]))
     parts = T.node_components(e)
     assert rows(parts, "n", "component") == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (20, 20), (21, 20)]
-    assert rows(T.gaps(e, parts, 5.0), "a", "b", "distance") == [(2, 3, 3.0)]
+    assert rows(T.gaps(e, parts, 5.0), "a", "b", "distance", "x", "y") == [(2, 3, 3.0, 11.5, 20.0)]
     with pytest.raises(Exception, match="no component"):
         T.edge_components(e, parts.where("n <> 8")).collect()
     assert rows(X.ranked(T.edge_components(e).groupBy("component").agg(F.round(F.sum("length"), 1).alias("m")), "rank", F.desc("m"), F.col("component")), "component", "rank") == [(1, 2), (8, 1), (20, 3)]
