@@ -17,7 +17,9 @@ SMOOTHING, PULL = 8.0, 131072.0
 CHANCE = 3.0
 #: Ratios are held as whole thousandths, so that sums do not depend on the order of adding.
 SCALE = 1000
-#: A document is kept if its mean log-likelihood ratio (natural log, a feature) is at least this.
+#: A document is kept if its mean log-likelihood ratio (natural log, a feature) is at least this. On 10,000 documents, with
+#: ratios trained without one of five folds, labelled documents of the other four that pass the base rules lay at -0.051
+#: and below (quality 0) and at -0.023 and above (quality 1).
 THRESHOLD = -0.045
 MIN_WORDS = 50
 #: Parts that rows without id are dealt to.
