@@ -38,8 +38,8 @@ from meshqa.llm.common import table, tokenizer_path
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that a text is read in at a time; any number gives the same ids.
 CHUNK = 1 << 16
-#: States that are remembered, and pieces with their ids; then they are found anew.
-REMEMBERED = 400_000
+#: States and transitions that are remembered, and pieces with their ids; then they are found anew.
+REMEMBERED, PIECES = 800_000, 400_000
 #: Characters of an open piece that are gathered before they go to its stream.
 GATHERED = 1024
 
@@ -317,7 +317,7 @@ class Encoder:
         if ids is None:
             ids = packed(self.merges.merge(piece.encode()))
             if len(piece) <= 32:
-                if len(self.known) >= REMEMBERED:
+                if len(self.known) >= PIECES:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
@@ -332,6 +332,7 @@ class Encoder:
         """Determinise a transition: what it emits, and the state that it leads to."""
         if self.size >= REMEMBERED:
             self._forget()
+        self.size += 1
         pending, kind = state[PENDING], state[KIND]
         if c is None:
             state[None] = found = (self.start, b"".join(map(self.ids_of, self.pieces.findall(pending))))
