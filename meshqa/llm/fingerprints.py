@@ -34,6 +34,8 @@ ROOM, LARGER = 8, 16
 TIMES = 2
 #: Rows that a block should have; quantiles that are cut at, and the most blocks.
 BLOCK_ROWS, QUANTILES, MOST_BLOCKS = 2000, 4096, 65536
+#: Rows whose cells one task holds.
+TASK_ROWS = 1500
 _BIT = 1 << 40
 
 
@@ -187,8 +189,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     ).withColumn("sizes", F.transform("sets", lambda s: F.size(s)))
     of_row.write.parquet(path)
     rows = spark.read.schema(of_row.schema).parquet(path)
-    # all that follows is dealt by r once
-    sets = rows.select("r", "sets").repartition("r")
+    # all that follows is dealt by r, to tasks that hold their cells in memory
+    sets = rows.select("r", "sets").repartition(max(1, min(MOST_BLOCKS, -(-rows.count() // TASK_ROWS))), "r")
     scratch: list[str] = []
     d = _resolved(spark, sets, scratch).groupBy("r").agg(*[F.max(F.when(F.col("p") == p, F.col("d"))).alias(f"d{p}") for p in (1, 2)])
     of_set = sets.select("r", F.posexplode("sets").alias("p", "xs")).where("p < 2").select("r", "p", F.explode("xs").alias("x"))
