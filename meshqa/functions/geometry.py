@@ -55,6 +55,12 @@ def direction_angle(p: Column, q: Column) -> Column:
     return F.when(angle > 90, 180 - angle).otherwise(angle)
 
 
+def folded_angle(px: str, py: str, qx: str, qy: str) -> Column:
+    """Degrees between two steps, given by columns of their parts, folded to at most 90."""
+    angle = F.abs(F.degrees(F.atan2(F.expr(f"{px}*{qy}-{py}*{qx}"), F.expr(f"{px}*{qx}+{py}*{qy}"))))
+    return F.least(angle, 180 - angle)
+
+
 def hausdorff(p: Column, q: Column) -> Column:
     """Discrete Hausdorff distance over vertices."""
     one = lambda a, b: F.array_max(F.transform(a, lambda s: F.array_min(F.transform(b, lambda t: distance(s, t)))))
@@ -71,18 +77,31 @@ def unzip(line: Column) -> Column:
     return F.transform(steps(line), lambda p: F.array(p["a"], p["b"]))
 
 
+def positions(line: Column) -> Column:
+    """How far along a line its vertices are: 0 first, its length last."""
+    return F.aggregate(steps(line), F.array(F.lit(0.0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + distance(p["a"], p["b"]))))
+
+
 def substring(line: Column, start: Column, end: Column) -> Column:
     """The part of a line between two positions along it."""
-    run = F.aggregate(steps(line), F.array(F.lit(0.0)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + distance(p["a"], p["b"]))))
-    marked = F.arrays_zip(run.alias("at"), line.alias("p"))
+    return between(line, positions(line), start, end)
 
-    def place(at: Column) -> Column:
-        part = F.filter(F.transform(steps(line), lambda p, i: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.get(run, i).alias("lo"), F.get(run, i + 1).alias("hi"))), lambda s: (s["lo"] <= at) & (at <= s["hi"]) & (s["hi"] > s["lo"]))
-        s = F.element_at(part, 1)
-        t = (at - s["lo"]) / (s["hi"] - s["lo"])
-        return F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y"))
 
-    inner = F.transform(F.filter(marked, lambda m: (m["at"] > start) & (m["at"] < end)), lambda m: m["p"])
+def between(line: Column, run: Column, start: Column, end: Column) -> Column:
+    """The same where the positions of the line's vertices are known. These do not fall, so that those before a place are
+    counted and no step is tried one by one."""
+    before = lambda at: F.size(F.filter(run, lambda r: r < at))
+    until = lambda at: F.size(F.filter(run, lambda r: r <= at))
+
+    def place(at: Column) -> Column:
+        # the first step that has a length and ends here or later
+        n = F.when(at > 0, before(at)).otherwise(until(F.lit(0.0)))
+        a, b, lo, hi = F.get(line, n - 1), F.get(line, n), F.get(run, n - 1), F.get(run, n)
+        t = (at - lo) / (hi - lo)
+        return F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+
+    first = until(start)
+    inner = F.slice(line, first + 1, F.greatest(before(end) - first, F.lit(0)))
     return F.concat(F.array(place(start)), inner, F.array(place(F.least(end, F.element_at(run, -1)))))
 
 
@@ -94,9 +113,14 @@ def pieces(total: Column, size: float) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * F.lit(float(size))).alias("start"), F.when(i == n - 1, total).otherwise((i + 1) * F.lit(float(size))).alias("end")))
 
 
-def point_segment(px, py, x1, y1, x2, y2) -> str:
-    """SQL for the distance of a point to a segment; the arguments are SQL."""
-    t = f"(CASE WHEN ({x2})=({x1}) AND ({y2})=({y1}) THEN 0.0 ELSE greatest(0.0, least(1.0, ((({px})-({x1}))*(({x2})-({x1}))+(({py})-({y1}))*(({y2})-({y1})))/((({x2})-({x1}))*(({x2})-({x1}))+(({y2})-({y1}))*(({y2})-({y1}))))) END)"
+def foot(px, py, x1, y1, x2, y2) -> str:
+    """SQL for where on a segment its point nearest to another is, 0 to 1; the arguments are SQL."""
+    return f"(CASE WHEN ({x2})=({x1}) AND ({y2})=({y1}) THEN 0.0 ELSE greatest(0.0, least(1.0, ((({px})-({x1}))*(({x2})-({x1}))+(({py})-({y1}))*(({y2})-({y1})))/((({x2})-({x1}))*(({x2})-({x1}))+(({y2})-({y1}))*(({y2})-({y1}))))) END)"
+
+
+def point_segment(px, py, x1, y1, x2, y2, t: str | None = None) -> str:
+    """SQL for the distance of a point to a segment; the arguments are SQL. t: its foot, where that is known."""
+    t = t or foot(px, py, x1, y1, x2, y2)
     return f"sqrt(pow(({px})-(({x1})+{t}*(({x2})-({x1}))),2)+pow(({py})-(({y1})+{t}*(({y2})-({y1}))),2))"
 
 
@@ -115,9 +139,18 @@ def meets_inside(a: str, b: str) -> str:
     return f"({b1}*{b2}<=0 AND {a1}*{a2}<=0 AND {b1}<>{b2} AND {ends})"
 
 
-def segment_distance(a: str, b: str) -> str:
-    """SQL for the distance of the segments a and b."""
-    ends = [point_segment(f"{p}.x{k}", f"{p}.y{k}", f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2") for p, s in ((a, b), (b, a)) for k in (1, 2)]
+def _ends(a: str, b: str) -> list[tuple[str, ...]]:
+    return [(f"{p}.x{k}", f"{p}.y{k}", f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2") for p, s in ((a, b), (b, a)) for k in (1, 2)]
+
+
+def feet(a: str, b: str) -> dict[str, str]:
+    """SQL for the feet of the segments' ends on each other, by name, for segment_distance."""
+    return {f"_t{k}": foot(*e) for k, e in enumerate(_ends(a, b))}
+
+
+def segment_distance(a: str, b: str, known: bool = False) -> str:
+    """SQL for the distance of the segments a and b; known: the columns of feet(a, b) are there."""
+    ends = [point_segment(*e, f"_t{k}" if known else None) for k, e in enumerate(_ends(a, b))]
     return f"(CASE WHEN {crosses(a, b)} THEN 0.0 ELSE least({', '.join(ends)}) END)"
 
 

@@ -4,7 +4,9 @@ boxes share, so no pair of segments comes twice."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshqa.functions import geometry as G
@@ -20,16 +22,30 @@ def _boxed(df: DataFrame, grow: float, cell: float, prefix: str) -> DataFrame:
     lo = lambda k: f"least({k}1, {k}2) - {grow!r}"
     hi = lambda k: f"greatest({k}1, {k}2) + {grow!r}"
     span = lambda k: F.expr(f"sequence(cast(floor(({lo(k)}) / {cell!r}) as int), cast(floor(({hi(k)}) / {cell!r}) as int))")
-    row = F.struct(*df.columns).alias(prefix)
-    return df.select(row, F.expr(lo("x")).alias(f"{prefix}_x"), F.expr(lo("y")).alias(f"{prefix}_y"), F.explode(span("x")).alias("cx"), span("y").alias("_ys")).select("*", F.explode("_ys").alias("cy")).drop("_ys")
+    row = [F.col(c).alias(f"{prefix}_{c}") for c in df.columns]
+    sides = [F.expr(lo("x")).alias(f"{prefix}__x"), F.expr(lo("y")).alias(f"{prefix}__y"), F.expr(hi("x")).alias(f"{prefix}__w"), F.expr(hi("y")).alias(f"{prefix}__h")]
+    return df.select(*row, *sides, F.explode_outer(span("x")).alias("cx"), span("y").alias("_ys")).select("*", F.explode_outer("_ys").alias("cy")).drop("_ys")
+
+
+def late(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column by which rows can be filtered after a join: as a generated one it isn't computed in the join for every pair
+    of its keys."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, cell: float, condition: str) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, cell: float, condition: str, first: dict[str, str] | None = None) -> DataFrame:
     """Structs l and r of rows whose boxes lie within radius of each other and for which `condition` (SQL over l and r)
-    holds. Rows have x1, y1, x2, y2; a point has both ends alike. Cost follows the number of rows in shared cells."""
+    holds. `first` names values (SQL too) that the condition uses more than once. Rows have x1, y1, x2, y2; a point has both
+    ends alike. Cost follows the number of rows in shared cells."""
     a, b = _boxed(left, 0.0, cell, "l"), _boxed(right, float(radius), cell, "r")
-    own = f"cx = cast(floor(greatest(l_x, r_x) / {cell!r}) as int) and cy = cast(floor(greatest(l_y, r_y) / {cell!r}) as int)"
-    return a.join(b, ["cx", "cy"]).where(f"{own} and {condition}").select("l", "r")
+    own = f"cx = cast(floor(greatest(l__x, r__x) / {cell!r}) as int) and cy = cast(floor(greatest(l__y, r__y) / {cell!r}) as int)"
+    # boxes that do not meet, but for rounding, are left out before anything is computed
+    meet = "l__x <= r__w + 1e-6 and r__x <= l__w + 1e-6 and l__y <= r__h + 1e-6 and r__y <= l__h + 1e-6"
+    # columns stay flat until here: fields taken out of structs anew for each use make methods that the JVM won't compile
+    flat = lambda sql: F.expr(re.sub(r"\b([lr])\.(\w+)", r"\1_\2", sql))
+    pairs = a.join(b, ["cx", "cy"]).where(f"{meet} and {own}").withColumns({n: flat(x) for n, x in (first or {}).items()})
+    whole = [F.struct(*[F.col(f"{p}_{c}").alias(c) for c in df.columns]).alias(p) for p, df in (("l", left), ("r", right))]
+    return late(pairs, "_near", flat(condition)).where("_near").select(*whole)
 
 
 def points_near_lines(points: DataFrame, lines: DataFrame, limit: float, cell: float, how: str = "inner", line: str = "line") -> DataFrame:
@@ -41,12 +57,13 @@ def points_near_lines(points: DataFrame, lines: DataFrame, limit: float, cell: f
     return points.select("n").join(found, "n", how) if how != "inner" else found
 
 
-def overlay(df: DataFrame, cell: float, key: str = "id", line: str = "line") -> DataFrame:
-    """Rows (key is unique) by the cells that their lines cross, with cx, cy and part, the length inside. Cells are half
+def overlay(df: DataFrame, cell: float, key: str = "id", line: str = "line", keep: list[str] | None = None) -> DataFrame:
+    """Rows (key is unique) by the cells that their lines cross, with cx, cy and part, the length inside. Where `keep` names
+    the columns that are needed besides the key, these go along and the rows are not met again. Cells are half
     open, so that lines on a border belong to one of two cells and lengths add up. A segment is followed column by column,
     so its cells are those that it meets and not all of its box."""
     c = repr(float(cell))
-    cut = segments_of(df, key, line=line).withColumn("cx", F.explode(F.expr(f"sequence(cast(floor(least(x1, x2) / {c}) as int), cast(floor(greatest(x1, x2) / {c}) as int))")))
+    cut = segments_of(df, key, *(keep or []), line=line).withColumn("cx", F.explode(F.expr(f"sequence(cast(floor(least(x1, x2) / {c}) as int), cast(floor(greatest(x1, x2) / {c}) as int))")))
     # where the segment is at the column's two sides
     at = lambda x: f"if(x1 = x2, {{}}, y1 + greatest(0.0D, least(1.0D, ({x} - x1) / (x2 - x1))) * (y2 - y1))"
     low, high = at(f"cx*{c}").format("y1"), at(f"(cx+1)*{c}").format("y2")
@@ -55,6 +72,8 @@ def overlay(df: DataFrame, cell: float, key: str = "id", line: str = "line") ->
     enter, leave = G.clipped("x1", "y1", "x2", "y2", f"cx*{c}", f"cy*{c}", f"(cx+1)*{c}", f"(cy+1)*{c}")
     long = "sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))"
     inside = cells.withColumn("part", F.expr(f"(({leave}) - ({enter})) * {long}")).where("part > 1e-9")
+    if keep is not None:
+        return inside.groupBy(key, *keep, "cx", "cy").agg(F.sum("part").alias("part"))
     return df.join(inside.groupBy(key, "cx", "cy").agg(F.sum("part").alias("part")), key)
 
 

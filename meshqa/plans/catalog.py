@@ -482,18 +482,19 @@ _MATCH = f"""{SEG_E.format(k='e')}, {SEG_R.format(k='r')}, near AS MATERIALIZED
 
 def _matched(s, d):
     e, r = _pieces(edges(s, d)), _pieces(reference_edges(s, d))
-    return e, r, M.best_matches(M.candidates(r, e, BUFFER), ANGLE, HAUSDORFF)
+    return e, r, M.match(r, e, BUFFER, ANGLE, HAUSDORFF)
 
 
 @query("SELECT ref, string_agg(match, ',' ORDER BY match) AS matches, count(*) AS count FROM near GROUP BY ref", more=_MATCH)
 def buffer_candidates(s, d):
-    found = M.overlay_buffer(M.candidates(_pieces(reference_edges(s, d)), _pieces(edges(s, d)), BUFFER))
+    near = M.near_steps(_pieces(reference_edges(s, d)), _pieces(edges(s, d)), BUFFER)
+    found = M.overlay_buffer(near.select(F.col("l.seg").alias("ref"), F.col("r.seg").alias("match")))
     return found.withColumn("matches", F.array_join("matches", ","))
 
 
 @query("SELECT ref, match, hausdorff FROM best", more=_MATCH)
 def best_match(s, d):
-    return _matched(s, d)[2]
+    return _matched(s, d)[2].drop("ref_length", "match_length")
 
 
 @query("""SELECT side, count(*) AS segments, count(*) FILTER (m) AS matched, round(sum(length), 3) AS length, round(coalesce(sum(length) FILTER (m), 0), 3) AS matched_length,
