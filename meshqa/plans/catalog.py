@@ -518,7 +518,7 @@ _GRIDS = {k: _SIDE_GRID.format(of=of, cut=overlay_sql(f"piece_{k}", CELL, f"step
 
 def _match_grid(pieces: DataFrame, found: DataFrame, key: str) -> DataFrame:
     hit = F.count(F.when(F.col("matched"), 1))
-    return overlay(M.split(pieces, found, key), CELL, "seg").groupBy("cx", "cy").agg(F.count("*").alias("segments"), hit.alias("matched"), F.round(100 * hit / F.count("*"), 2).alias("matched_pct"))
+    return overlay(M.split(pieces.select("seg", "line"), found, key), CELL, "seg", keep=["matched"]).groupBy("cx", "cy").agg(F.count("*").alias("segments"), hit.alias("matched"), F.round(100 * hit / F.count("*"), 2).alias("matched_pct"))
 
 
 @query(f"SELECT cx, cy, e.segments, e.matched, e.segments - e.matched AS unmatched, e.matched_pct, r.segments AS ref_segments, r.matched AS ref_matched, r.matched_pct AS ref_matched_pct FROM {_GRIDS['e']} e FULL JOIN {_GRIDS['r']} r USING (cx, cy)", more=_MATCH)
