@@ -250,3 +250,22 @@ def test_projection(spark):
     assert east[0] == pytest.approx(0.9996 * prime * math.radians(0.001), abs=1e-4)
     assert e[0] - 500_000 == pytest.approx(500_000 - f[0], abs=1e-6) and e[1] == pytest.approx(f[1], abs=1e-6)
     assert spark.range(1).select(G.to_utm(F.lit(9.0), F.lit(-1.0), 32, True)["y"]).first()[0] == pytest.approx(10_000_000 - 0.9996 * meridian(1.0), abs=1e-3)
+
+
+def test_matching_does_its_work_after_the_join(spark):
+    # conditions that cost something are generated columns, or the join computes them for every pair of a cell
+    line = lambda k, y: (k, 1, 2, [(0, y), (60, y), (60, y + 30)])
+    ref, other = (M.numbered(M.segments(network(spark, *rows), 40.0)) for rows in ([line(1, 0), line(2, 200)], [line(7, 4), line(8, 190)]))
+    found = M.match(ref, other, 15.0, 30.0, 17.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(row for row in plan.split("\n") if "Join Inner" in row)
+    assert "ATAN2" not in join and "SQRT" not in join and "transform" not in join
+    pairs = M.candidates(ref, other, 15.0)
+    assert pairs.count() == pairs.distinct().count() > 4
+    plain = M.best_matches(pairs, 30.0, 17.0)
+    rows = {tuple(r) for r in found.select("ref", "match", "hausdorff").collect()}
+    assert rows == {tuple(r) for r in plain.collect()} and len(rows) == 4
+    # with the lengths of matched pieces at hand the figures are those of a second meeting
+    assert sorted(map(tuple, M.statistics(ref, other, found).select("side", "segments", "matched", "length", "matched_length").collect())) == sorted(map(tuple, M.statistics(ref, other, plain).select("side", "segments", "matched", "length", "matched_length").collect()))
+    got = S.overlay(M.split(ref, plain, "ref"), 30.0, "seg")
+    assert sorted(map(tuple, got.select("seg", "cx", "cy", "matched").collect())) == sorted(map(tuple, S.overlay(M.split(ref, plain, "ref"), 30.0, "seg", keep=["matched"]).select("seg", "cx", "cy", "matched").collect()))
