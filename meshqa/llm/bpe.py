@@ -2,8 +2,8 @@
 
 Encoding. Every text is read character by character, in chunks, by a deterministic transducer. Its state is the text read
 whose tokens are not stable yet: the open piece (merges never cross the splitter's pieces), and what may have begun a
-special token. A transition emits the ids that it makes stable. Transitions are determinised on first use and
-remembered up to a bound; each pass through unknown ground adds one state. Inside a long piece tokens are emitted once
+special token. A transition emits the ids that it makes stable (of a whole piece those that the library's model
+gives for it). Transitions are determinised on first use and remembered up to a bound; each pass through unknown ground adds one state. Inside a long piece tokens are emitted once
 stable too: as soon as as many bytes follow them as the merge list's sufficient lookahead. So memory does not grow with
 the text.
 
@@ -19,6 +19,7 @@ Decoding. A state machine takes ids and gives text as soon as its bytes form who
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
@@ -31,6 +32,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from meshqa.llm.common import table, tokenizer_path
 
@@ -78,6 +80,12 @@ class Merges:
             self.parts.setdefault(whole, (self.ids[u], self.ids[v]))
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.lookahead = self._lookahead()
+        self.letter = {b: c for c, b in letters.items()}
+        self.model = Tokenizer.from_file(path).model.tokenize
+
+    def of_piece(self, piece: str) -> list[int]:
+        """The ids of one whole piece, by the library's model; merge gives the same."""
+        return [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letter))]
 
     def _lookahead(self) -> int:
         best: dict[int, int] = {}
@@ -277,10 +285,16 @@ class Encoder:
         self.longest = max(map(len, self.prefixes), default=0)
         self.kinds = Kinds({c: -1 for c in (None, *self.begins)})
         self.open = OpenPiece(self)
+        self.states: dict[str, State] = {}
         self._forget()
         self.state = self.start
 
     def _forget(self) -> None:
+        # every cycle of states goes through one of these: without their transitions all are freed, with no collection
+        for state in self.states.values():
+            pending, kind = state[PENDING], state[KIND]
+            state.clear()
+            state[PENDING], state[KIND] = pending, kind
         self.states, self.size, self.known = {}, 0, {}
         self.start = self.state_of("")
 
@@ -315,7 +329,7 @@ class Encoder:
     def ids_of(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
-            ids = packed(self.merges.merge(piece.encode()))
+            ids = packed(self.merges.of_piece(piece))
             if len(piece) <= 32:
                 if len(self.known) >= PIECES:
                     self.known.clear()
@@ -423,6 +437,16 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         dec = Decoder(enc.merges)
+        # states are many and none is garbage until all are forgotten: collections would only walk through them
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            yield from encoded(batches, enc, dec)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def encoded(batches: Iterator[pd.DataFrame], enc: Encoder, dec: Decoder) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts, of_ids, of_text = [], [], []
             for text in batch["text"]:

@@ -567,3 +567,44 @@ def test_simhash_links_crowded_cells(spark, monkeypatch):
         assert (a ^ b).bit_count() <= 4
         parent[max(find(a), find(b))] = min(find(a), find(b))
     assert {f: find(f) for f in fps} == _groups(list(fps))
+
+
+def test_forgotten_states_are_freed_without_collection(monkeypatch):
+    import gc
+
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = tokenizers.Tokenizer.from_file(path), random.Random(5)
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    enc = bpe.Encoder(bpe.Merges(path))
+    states = lambda: sum(1 for o in gc.get_objects() if type(o) is dict and isinstance(o.get(bpe.PENDING), str) and bpe.KIND in o)
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(100):
+            text = " ".join("".join(rng.choices("abcde'é  7", k=rng.randint(1, 6))) for _ in range(60)) * 2
+            assert enc.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert states() < 2 * bpe.REMEMBERED
+    finally:
+        gc.enable()
+
+
+def test_closed_pieces_have_the_library_models_ids():
+    merges, rng = bpe.Merges(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    for _ in range(300):
+        piece = "".join(rng.choices("etaoin srhlé漢\U0001f600\n", k=rng.randint(1, 60)))
+        assert merges.of_piece(piece) == merges.merge(piece.encode())
+
+
+def test_units_are_counted_by_the_library_model(monkeypatch):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), counts.Transducer(path), random.Random(7)
+    merged, asked = machine.merged, []
+    monkeypatch.setattr(machine, "merged", lambda unit: asked.append(unit) or merged(unit))
+    for text in ["", " ", "  ", " a", "a ", "a  b", "\u2581", "\u2581 a\u2581b", "a\n b", "\x00", " \x00a", "<s> </s><unk>", "e\u0301 \ufb01 \uff21", "\U0001f600 x", "\u00a0x \u3000y"] + ["".join(rng.choices("ab \u2581\n<s>é漢", k=rng.randint(1, 40))) for _ in range(300)]:
+        assert machine.count(text) == len(library.encode(text)), repr(text)
+    del asked[:]
+    assert machine.count("several ordinary words") == len(library.encode("several ordinary words")) and not asked
