@@ -4,7 +4,7 @@ Compilation reads the vocabulary and finds where no piece can reach across: befo
 character, and around characters that stand in no piece of several characters. The transducer reads a text character by
 character. Its state is the unit read since the last such cut; a transition that closes a unit is annotated with the
 number of tokens that it emits. Transitions are determinised on first use and remembered up to a bound: a unit's tokens
-are found by merging once, and the states on the way to it are laid when it comes again.
+are found once, by the library's model or by merging as it does, and the states on the way to it are laid when it comes again.
 
 Every text is read in chunks, and a chunk is a state map. Whatever unit is open where it is entered, it lengthens that by
 its head, and then either leaves it open or closes it, emits what its cuts enclose, and leaves another unit open: (head,
@@ -37,7 +37,8 @@ REMEMBERED = 400_000
 #: What a chunk does: (head, emitted, tail), or (text, None, "") where it has no cut.
 StateMap = tuple[str, int | None, str]
 #: A state is a dict: character -> (next state, tokens emitted); None -> the same for the end of the text; UNIT -> the open unit.
-UNIT = 0
+#: That is a string, longer than a character: a dict whose keys are all strings is smaller and looked up faster.
+UNIT = "unit"
 
 
 class OpenUnit:
@@ -73,6 +74,8 @@ class Transducer:
         self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
         if bad := [p for p in self.score if SPACE in p.lstrip(SPACE)]:
             raise ValueError(f"pieces with an inner word mark can't be cut there: {bad[:3]}")
+        # the library puts a word mark before a text; units that begin with one mark are asked of it without that
+        self.library = lambda unit: model.encode(unit[1:])
         self.lowest = min(self.score.values(), default=0.0) - 1
         joined = {c for p in self.score if len(p) > 1 for c in p}
         single = [chr(c) for c in range(128) if chr(c) not in joined and chr(c) != " "]
@@ -130,7 +133,7 @@ class Transducer:
             return 0
         n = self.tokens.get(unit)
         if n is None:
-            n = self.merged(unit)
+            n = len(self.library(unit)) if unit[0] == SPACE and unit[1:2] not in ("", SPACE) else self.merged(unit)
             if len(unit) <= 32:
                 if len(self.tokens) >= REMEMBERED:
                     self.tokens.clear()
