@@ -176,7 +176,8 @@ class PieceStream:
 #: A state is a dict: character -> (next state, ids emitted); None -> the same for the end of the text; PENDING -> the text
 #: whose ids are not emitted yet; KIND -> the class of its last character if it is one piece that more of them lengthen
 #: and any other character but white space's closes.
-PENDING, KIND = 0, 1
+#: Both are strings, longer than a character: a dict whose keys are all strings is smaller and looked up faster.
+PENDING, KIND = "pending", "kind"
 State = dict
 NOTHING = b""
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -414,7 +415,7 @@ class Decoder:
     """ids -> text, as soon as bytes form whole characters; bytes that never do become U+FFFD."""
 
     def __init__(self, merges: Merges):
-        self.bytes_of = merges.bytes_of
+        self.bytes_of = [merges.bytes_of.get(i) for i in range(max(merges.bytes_of) + 1)]
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
